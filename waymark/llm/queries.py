@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import decontaminate, licenses, url_filters
+from waymark.llm import decontaminate, licenses, simhash, url_filters, warc
 from waymark.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -24,6 +32,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op4_warc": op4_warc,
     "op7_licenses": op7_licenses,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
@@ -58,6 +68,15 @@ fit AS (SELECT u.*, rh || rp AS rule, r.verdict AS verdict, row_number() OVER (P
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit WHERE k = 1"""
 
 
+_OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS holder FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN holder END AS refers_to
+FROM m"""
+
+
 def _canonical_sql(column: str) -> str:
     t = f"regexp_replace({_LOWER.format(f"coalesce({column}, '')")}, '{licenses.COPYRIGHT_LINE.replace('(?md)', '(?m)')}', ' ', 'g')"
     t = rf"' ' || trim(regexp_replace({t}, '[\x00-\x2F\x3A-\x60\x7B-\x7F©‘’“”–—]+', '  ', 'g')) || ' '"
@@ -78,4 +97,4 @@ l AS (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM (SELECT doc
 f AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices FROM (SELECT DISTINCT doc_id, license FROM l JOIN n USING (digest)) GROUP BY doc_id)
 SELECT d.doc_id AS doc_id, text_digest, license, coalesce(notices, '') AS notices FROM d LEFT JOIN k ON text_digest = k.digest LEFT JOIN f ON d.doc_id = f.doc_id"""
 
-ORACLE_SQL = {"op7_licenses": _OP7, "op9_decontamination": _OP9, "op10_url_filters": _OP10}
+ORACLE_SQL = {"op4_warc": _OP4, "op7_licenses": _OP7, "op9_decontamination": _OP9, "op10_url_filters": _OP10}
