@@ -10,8 +10,11 @@ powers of two, which need no padding either.
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +29,51 @@ SHARD_BYTES = 8 << 20
 #: BM25's constants; the seed's terms that are looked up (those that weigh most); neighbours ranked at a time.
 K1, B, QUERY_TERMS, RANKED = 1.2, 0.75, 32, 128
 #: Pieces of text (between spaces and line ends) whose ids a Python worker keeps.
-CACHE = 700_000
+CACHE = 500_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, Encoder] = {}
+#: Pieces that no normalisation changes and that hold no contraction or special token: a-z, lower-case Latin-1 letters,
+#: digits and ASCII punctuation but ' and <.  Their words, single digits and runs of punctuation are merged alone.
+_PLAIN = re.compile(r"[a-zß-öø-ÿ0-9!-&(-/:;=->?@\[-`{-~]+")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=->?@\[-`{-~]+")
+#: How byte-level tokenizers write bytes as characters: printable Latin-1 stands for itself, the rest follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+class _Known(dict):
+    """Ids of pieces as bytes; a piece that isn't known yet is encoded when it is looked up."""
+
+    def __init__(self, tokenizer, code: str):
+        self.encode, self.merge, self.code = tokenizer.encode, tokenizer.model.tokenize, code
+
+    def __missing__(self, p: bytes) -> bytes:
+        if p.isalpha() and p.islower():
+            ids = array(self.code, [t.id for t in self.merge(p.decode())]).tobytes()
+        elif p[-1:] in (b".", b",") and p[:-1].isalpha() and p.islower():
+            ids = self[p[:-1]] + self[p[-1:]]
+        elif not _PLAIN.fullmatch(text := p.decode("utf-8")):
+            ids = array(self.code, self.encode(text, add_special_tokens=False).ids).tobytes()
+        elif len(parts := _PARTS.findall(text)) > 1:
+            ids = b"".join([self[x.encode()] for x in parts])
+            if len(parts) > 2 or len(parts[1]) > 1:
+                return ids  # the parts are kept; what they make up may never come again
+        else:
+            ids = array(self.code, [t.id for t in self.merge(p.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+        self[p] = ids
+        return ids
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes.
+    """Ids of texts, as little-endian bytes of ``width`` bytes an id.
 
-    The tokenizer drops white space, never joins across it and lower-cases, so
-    a text is lower-cased (A-Z), cut at spaces and line ends, and each distinct
-    piece is encoded once.  A full stop or comma after a letter is a token of
-    its own, so such a piece is put together from the two.
+    A tokenizer that lower-cases, drops white space and splits words from
+    punctuation before its merges needs to see a piece between two spaces only
+    once, and plain words and punctuation go to its merges directly.  Any
+    other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -48,33 +81,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self._learn([])
-
-    def _learn(self, pieces) -> None:
-        if len(self.known) + len(pieces) > CACHE:
-            self.known.clear()
-        pieces = list({b"", b".", b",", *pieces} - self.known.keys())
-        for p, e in zip(pieces, self.tokenizer.encode_batch([p.decode("utf-8") for p in pieces], add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
+        self.known = _Known(self.tokenizer, self.code)
+        shape = json.loads(self.tokenizer.to_str())
+        self.by_piece = [(shape[k] or {}).get("type") for k in ("normalizer", "pre_tokenizer")] == ["Sequence"] * 2 and (
+            [n["type"] for n in shape["normalizer"]["normalizers"]], [n["type"] for n in shape["pre_tokenizer"]["pretokenizers"]]
+        ) == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
+        if not self.by_piece:
+            return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        out = []
         for t in texts:
-            b = t.encode("utf-8", "replace")
-            # special tokens are told by their case
-            cut.append((b if b"<|" in b else b.lower()).replace(b"\n", b" ").split(b" "))
-        needed = {p for ps in cut for p in ps}
-        split = {p for p in needed if p[-1:] in (b".", b",") and p[-2:-1].isalpha()}
-        if new := ({p[:-1] for p in split} | (needed - split)) - self.known.keys():
-            self._learn(new)
-            # what a clearing took away is learnt again
-            self._learn(({p[:-1] for p in split} | (needed - split)) - self.known.keys())
-        known = self.known
-        for p in split:
-            if p not in known:
-                known[p] = known[p[:-1]] + known[p[-1:]]
-        return [b"".join(map(known.__getitem__, ps)) for ps in cut]
+            try:
+                # in Latin-1 every way to lower-case agrees; special tokens are told by their case
+                t.encode("latin-1")
+                b = (t if "<|" in t else t.lower()).encode("utf-8")
+            except UnicodeEncodeError:
+                b = t.encode("utf-8", "replace")
+            pieces = b.replace(b"\n", b" ").split(b" ")
+            out.append(b"".join(map(self.known.__getitem__, pieces)))
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -84,18 +114,15 @@ def encoder(path: str) -> Encoder:
 
 
 def _tokenise(path):
-    end = np.array([END], "<u4").tobytes()
-
     def run(batches):
         enc = encoder(path)
+        end = array(enc.code, [END]).tobytes()
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
-            for at in range(0, max(len(texts), 1), 500):
+            for at in range(0, len(texts), 500):
                 ids = [x + end for x in enc.encode(texts[at : at + 500])]
-                # 16 bits hold every id of this tokenizer; others keep 32
-                arrays = [np.frombuffer(x, "<u4") for x in ids]
-                packed = [(a.astype("<u2") if len(a) and a.max() < 1 << 16 else a).tobytes() for a in arrays]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), b.column(1).slice(at, 500), pa.array([len(a) for a in arrays], pa.int64()), pa.array(packed, pa.binary())], names=["shard", "doc_id", "n", "ids"])
+                sizes = pa.array([len(x) // enc.width for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), b.column(1).slice(at, 500), sizes, pa.array(ids, pa.binary())], names=["shard", "doc_id", "n", "ids"])
 
     return run
 
