@@ -166,18 +166,21 @@ def predict(texts: list[str | None], langs: list[str], table: np.ndarray) -> tup
     return best, score, sets
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and lang_set; columns of ``docs`` with these names are replaced.
+NAMES = ("lang_pred", "score", "lang_set")
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: str = "text", names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """``docs`` with lang_pred, score and lang_set (or other ``names``); columns of ``docs`` with these names are replaced.
 
     ``lang_pred`` is the language with the largest share (ties: the first in
     order), ``und`` with score 0 if the text is null or has no letter, or if
     no language was learnt.  Rows, repeated ones too, stay as they are.
     """
     langs, table = model
-    new = ["lang_pred", "score", "lang_set"]
+    new = list(names)
     kept = docs.drop(*new)
     place = kept.columns.index(text_col)
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_set", T.StringType())])
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in zip(new, (T.StringType(), T.DoubleType(), T.StringType()), strict=True))])
 
     def run(batches):
         for b in batches:
@@ -193,3 +196,10 @@ def predictions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     held_out = remainder(F.col("doc_id"), divisor) == held
     model = learn(rows.where(~held_out))
     return identify(rows.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", divisor: int = 4, held: int = 2) -> DataFrame:
+    """The rows of ``docs``, in its own columns, whose text is in some language: those that aren't ``und``."""
+    model = learn(docs.where(remainder(F.col(id_col), divisor) != held), text_col=text_col, lang_col=lang_col)
+    names = tuple(next(c for c in (("_" * i) + n for i in range(1, 99)) if c not in docs.columns) for n in NAMES)
+    return identify(docs, model, text_col=text_col, names=names).where(F.col(names[0]) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
