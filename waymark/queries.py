@@ -148,7 +148,7 @@ def radius_join(spark, d):
     return _double(pairs.select(F.col("l_star_id").alias("a"), F.col("r_star_id").alias("b"), "d2"), "d2")
 
 
-@_query(f"SELECT probe_id, star_id, CAST(d2 AS DOUBLE) AS d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY d2, star_id) AS rank FROM (SELECT p.probe_id AS probe_id, s.star_id AS star_id, {_d2('p.', 's.')} AS d2 FROM {_PROBES} p, {_S} s) WHERE d2 <= {_r2(R)}) WHERE rank <= 8")
+@_query(f"SELECT probe_id, star_id, CAST(d2 AS DOUBLE) AS d2, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY d2, star_id) AS rank FROM (SELECT p.probe_id AS probe_id, s.star_id AS star_id, {_d2('p.', 's.')} AS d2 FROM {_PROBES} p, {_S} s) WHERE d2 <= {_r2(R)}) WHERE rank <= 8")
 def radius_capped(spark, d):
     return _double(spatial.radius_capped(probes(spark, d), stars(spark, d).select("star_id", "x", "y", "z"), R, 8), "d2")
 
