@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geometry import AXES, cell, dist_sq, f32, in_box
+from waymark.sources.tables import materialize
 
 #: Rows of a probe side up to which it is broadcast.
 BROADCAST_ROWS = 100_000
@@ -34,7 +35,7 @@ def range_join(left: DataFrame, right: DataFrame, r: float, *, small_left: bool
     knows.
     """
     a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns])
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], *cell_of(right, r))
+    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], *cell("", r))
     step = F.array(*[F.struct(*[F.lit(d).cast("long").alias(c) for c, d in zip(AXES, ds, strict=True)]) for ds in ((i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))])
     a = a.select("*", *cell("l_", r), F.explode(step).alias("s"))
     a = a.select(*[f"l_{c}" for c in left.columns], *[(F.col(f"c{c}") + F.col(f"s.{c}")).alias(f"c{c}") for c in AXES])
@@ -43,10 +44,6 @@ def range_join(left: DataFrame, right: DataFrame, r: float, *, small_left: bool
     return pairs.drop(*[f"c{c}" for c in AXES]).withColumn("d2", dist_sq("l_", "r_")).where(F.col("d2") <= f32(r) * f32(r))
 
 
-def cell_of(df: DataFrame, r: float) -> list[Column]:
-    return cell("", r)
-
-
 def radius_capped(probes: DataFrame, stars: DataFrame, r: float, n: int) -> DataFrame:
     """Of each probe's ball the n nearest (probe_id, star_id, d2, rank); ties go to the smaller id."""
     w = Window.partitionBy("l_probe_id").orderBy("d2", "r_star_id")
@@ -68,10 +65,13 @@ def nearest_join(probes: DataFrame, stars: DataFrame, start: float) -> DataFrame
     done, r, left = None, start, probes
     while True:
         r = min(r, most)
-        best = range_join(left, stars, r).groupBy(F.col("l_probe_id").alias("probe_id")).agg(F.min(F.struct("d2", F.col("r_star_id").alias("star_id"))).alias("m")).select("probe_id", "m.star_id", "m.d2").persist()
+        best = range_join(left, stars, r).groupBy(F.col("l_probe_id").alias("probe_id")).agg(F.min(F.struct("d2", F.col("r_star_id").alias("star_id"))).alias("m")).select("probe_id", "m.star_id", "m.d2")
+        best = materialize(best, "nearest")
         done = best if done is None else done.unionByName(best)
-        left = left.join(best, "probe_id", "left_anti").persist()
-        if r >= most or left.isEmpty():
+        if r >= most:
+            return done
+        left = materialize(left.join(best, "probe_id", "left_anti"), "left")
+        if left.isEmpty():
             return done
         r *= 2
 
