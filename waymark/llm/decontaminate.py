@@ -25,20 +25,43 @@ def words(text: Column) -> Column:
     return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), GAP), lambda w: w != "")
 
 
-def _windows(ws: Column, size: int) -> Column:
-    """(pos from 1, size, text) of each window of one size."""
-    count = F.greatest(F.size(ws) - (size - 1), F.lit(0))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: i <= count)
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.array_join(F.slice(ws, i, size), " ").alias("win")))
+def with_window_hashes(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """``df`` (ws) with an array w<size> for each size: hashes of the windows at all places, from the hashes of words.
+
+    A window is put together from halves (1, 2, 4, 8 words), so each place
+    costs a few hashes of two numbers whatever the size; cutting each window
+    out of the array would cost the whole array each time.  The last
+    ``size - 1`` places hold what is left of the text and mean nothing.
+    """
+    out, power = df.withColumn("p1", F.transform("ws", lambda w: F.xxhash64(w))), 1
+
+    def shifted(name: str, by: int) -> Column:
+        return F.slice(name, F.lit(by + 1), F.size(name))
+
+    while 2 * power <= max(sizes, default=0):
+        out = out.withColumn(f"p{2 * power}", F.zip_with(f"p{power}", shifted(f"p{power}", power), lambda x, y: F.xxhash64(x, y)))
+        power *= 2
+    for size in sizes:
+        parts = [1 << k for k in range(size.bit_length() - 1, -1, -1) if size >> k & 1]
+        out, at = out.withColumn(f"w{size}", F.col(f"p{parts[0]}")), parts[0]
+        for p in parts[1:]:
+            out, at = out.withColumn(f"w{size}", F.zip_with(f"w{size}", shifted(f"p{p}", at), lambda x, y: F.xxhash64(x, y))), at + p
+    return out
+
+
+def _windows(size: int) -> Column:
+    """(pos from 1, size, h) of each whole window of one size."""
+    whole = F.slice(f"w{size}", F.lit(1), F.greatest(F.size("ws") - (size - 1), F.lit(0)))
+    return F.transform(whole, lambda h, i: F.struct((i + 1).alias("pos"), F.lit(size).alias("size"), h.alias("h")))
 
 
 def benchmark_windows(bench: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Distinct windows: size, win, items (distinct ids as strings).  An item of fewer words than ``window`` is one window; one without words has none."""
+    """Distinct windows: size, win (array of words), h, items (distinct ids as strings).  An item of fewer words than ``window`` is one window; one without words has none."""
     items = bench.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("ws")).where("size(ws) > 0 and item is not null")
-    size = F.least(F.size("ws"), F.lit(window))
-    at = F.sequence(F.lit(1), F.size("ws") - size + 1)
-    wins = items.select("item", F.explode(F.transform(at, lambda i: F.struct(size.alias("size"), F.array_join(F.slice("ws", i, size), " ").alias("win")))).alias("w")).select("item", "w.*")
-    return wins.groupBy("size", "win").agg(F.collect_set("item").alias("items"))
+    items = with_window_hashes(items, list(range(1, window + 1)))
+    own = F.coalesce(*[F.when(F.least(F.size("ws"), F.lit(window)) == s, _windows(s)) for s in range(1, window + 1)])
+    wins = items.select("item", "ws", F.explode(own).alias("w")).select("item", "w.size", "w.h", F.slice("ws", F.col("w.pos"), F.col("w.size")).alias("win"))
+    return wins.groupBy("size", "win", "h").agg(F.collect_set("item").alias("items"))
 
 
 def find_hits(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: bool = False) -> DataFrame:
@@ -48,16 +71,18 @@ def find_hits(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text
     sizes, total = sorted(r["size"] for r in found), sum(r["n"] for r in found)
     kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("ws"), *kept)
-    none = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("size"), F.lit("").alias("win")))
-    probes = F.concat(none, *[_windows(F.col("ws"), s) for s in sizes])
+    none = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("h")))
+    probes = with_window_hashes(base, sizes).withColumn("ps", F.concat(none, *[_windows(s) for s in sizes]))
     # the first probe of each document, the empty window, carries the document itself, so the table is read once
     first = F.col("p.pos") == 0
-    flat = base.select("rid", "doc_id", F.size("ws").alias("n"), *(["row"] if carry else []), F.explode(probes).alias("p"))
-    flat = flat.select("rid", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("n")).alias("n"), *([F.when(first, F.col("row")).alias("row")] if carry else []), "p.pos", "p.size", "p.win", F.xxhash64("p.win").alias("h"))
-    empty = known.sparkSession.range(1).select(F.lit("").alias("win"), F.lit([]).cast("array<string>").alias("items"))
-    right = known.select("win", "items").unionByName(empty).select(F.xxhash64("win").alias("bh"), F.col("win").alias("bwin"), "items")
+    carried = ["row"] if carry else []
+    flat = probes.select("rid", "doc_id", "ws", *carried, F.explode_outer("ps").alias("p"))  # never empty; a plain explode would have its arrays made twice, to filter by their size
+    empty = known.sparkSession.range(1).select(F.lit([]).cast("array<string>").alias("win"), F.lit([]).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("h"))
+    right = known.select("win", "items", "h").unionByName(empty).select(F.col("h").alias("bh"), F.col("win").alias("bwin"), "items")
     right = F.broadcast(right) if total <= BROADCAST_WINDOWS else right
-    joined = flat.join(right, (F.col("h") == F.col("bh")) & (F.col("win") == F.col("bwin")))
+    same = F.when(F.col("p.size") == 0, F.size("bwin") == 0).otherwise(F.slice("ws", F.greatest(F.col("p.pos"), F.lit(1)), F.col("p.size")) == F.col("bwin"))
+    joined = flat.join(right, F.col("p.h") == F.col("bh")).where(same)
+    joined = joined.select("rid", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.size("ws")).alias("n"), *([F.when(first, F.col("row")).alias("row")] if carry else []), "p.pos", "p.size", "items")
     spans = F.sort_array(F.collect_list(F.when(F.col("pos") > 0, F.struct("pos", "size"))))
     return joined.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
