@@ -197,18 +197,18 @@ def test_every_256th_of_the_dead_zone(spark):
     assert sorted(r["line_no"] for r in catalog.deadzone_sample(rows).where("chosen").collect()) == [0, 256, 512, 768]
 
 
-def test_galaxy_dump(spark, tmp_path):
+def test_system_dump(spark, tmp_path):
     systems = [{"name": f"S{i}", "coords": {"x": i, "y": 2.5, "z": -i}, "bodies": [{"subType": "Neutron Star", "distanceToArrival": 0, "mainStar": True}]} for i in range(20)]
-    path = tmp_path / "galaxy.json"
+    path = tmp_path / "systems.json"
     path.write_text("[\n" + ",\n".join(json.dumps(s) for s in systems) + "\n]\n")
-    got = readers.galaxy_systems(readers.numbered_lines(spark, str(path))).orderBy("line_no").collect()
+    got = readers.dump_systems(readers.numbered_lines(spark, str(path))).orderBy("line_no").collect()
     assert [(r["line_no"], r["name"], r["coords"]["x"]) for r in got] == [(i + 1, f"S{i}", float(i)) for i in range(20)]
     line = spark.createDataFrame([('{"name":"Sol","coords":{"x":1.5,"y":-2,"z":3e1}},',), ("[",), ("",), ('{"name":"No"}',)], "v string")
     assert [r[0] and tuple(r[0]) for r in line.select(readers.scan_line(F.col("v"))).collect()] == [("Sol", 1.5, -2.0, 30.0), None, None, None]
     bad = tmp_path / "bad.json"
     bad.write_text("[\n{broken,\n]\n")
     with pytest.raises(Exception, match="(?i)malformed"):
-        readers.galaxy_systems(readers.numbered_lines(spark, str(bad))).collect()
+        readers.dump_systems(readers.numbered_lines(spark, str(bad))).collect()
 
 
 def test_star_arrays(spark, tmp_path):

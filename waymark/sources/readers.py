@@ -1,4 +1,4 @@
-"""Readers: galaxy dumps, flat star arrays, journals, name lists, stored values, HTML tables."""
+"""Readers: system dumps, flat star arrays, journals, name lists, stored values, HTML tables."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "line_no long, value string")
 
 
-def galaxy_systems(lines: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+def dump_systems(lines: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     """Systems of a dump, one JSON object a line between ``[`` and ``]``: the first line and everything from a line ending in ``]`` on is left out, one trailing comma is cut."""
     end = lines.where((F.col("line_no") > 0) & F.col("value").endswith("]")).agg(F.min("line_no").alias("end"))
     body = lines.where("line_no > 0").join(F.broadcast(end)).where("end is null or line_no < end")
