@@ -1,10 +1,12 @@
 """The operators do the whole job: cases that an earlier, thinner version failed."""
 
+import zlib
+
 import numpy as np
 import pytest
 
-from waymark.llm import mixing
-from tests.llm.helpers import docs, rows
+from waymark.llm import langid, mixing
+from tests.llm.helpers import docs
 
 # LM scoring
 
@@ -41,3 +43,31 @@ def test_every_stride_of_a_long_text_is_refined():
     texts = [b"some words and more " * 200, b"short", b"other " * 300]
     got = mixing.score_texts(texts, code, tables, weights)[0]
     assert got == pytest.approx([slow_score(t, code, tables, weights) for t in texts], rel=1e-4)
+
+
+# Language identification
+
+
+def test_any_number_of_labels(spark, monkeypatch):
+    """More labels than a task holds, each with words of its own letters."""
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 6 * 140)]
+    texts = [" ".join("".join(alphabet[6 * k + (i + j) % 6] for j in range(4)) for i in range(12)) for k in range(140)]
+    some = [(1000 * r + k, t, f"l{k:03}") for r in range(4) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predictions(docs(spark, some)).collect()}
+    learnt = {lang for i, _, lang in some if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(learnt) > 128
+    assert all(got[i] == lang for i, _, lang in some if lang in learnt)
+
+
+def test_lookups_in_parts_are_the_same(monkeypatch):
+    rng = np.random.default_rng(1)
+    table = rng.standard_normal((langid.BUCKETS, 3)).astype(np.float32)
+    h, starts, _ = langid.grams(["some words of one text", "x", "averyveryverylongword and others"])
+    whole = langid._word_likelihoods(table, h, starts)
+    monkeypatch.setattr(langid, "LOOKED_UP", 9)
+    assert (langid._word_likelihoods(table, h, starts) == whole).all()
+
+
+def test_lettered_documents_stay_when_no_language_was_learnt(spark):
+    some = [(1, "hello", None), (2, "12 !", None), (3, None, None), (4, "", None), (5, "é", None)]
+    assert sorted(r["doc_id"] for r in langid.keep_identified(docs(spark, some, ("lang_pred",))).collect()) == [1, 5]

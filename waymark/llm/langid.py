@@ -15,16 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Hashed n-grams; more languages than this are refused, so the model has a known size.
-BUCKETS, MOST_LANGUAGES = 1 << 16, 128
+#: Hashed n-grams; languages whose counts a task holds before it sends them on.
+BUCKETS, HELD = 1 << 16, 128
 #: What every n-gram is taken to have been seen in advance.
 PRIOR = 0.1
 #: Rounds of expectation-maximisation for the first set and for each smaller one.
 ROUNDS, MORE_ROUNDS = 8, 4
 #: Log likelihood that one more language must gain, for each unit of log(words + 1); 0.5 is the Bayesian information criterion.
 PENALTY = 2.0
-#: Characters handled at once.
-CHUNK = 1 << 20
+#: Characters handled at once with up to FEW languages (fewer with more of them), and log likelihoods looked up at once.
+CHUNK, FEW, LOOKED_UP = 1 << 20, 8, 1 << 25
 
 _letters: list[np.ndarray] = []
 
@@ -64,12 +64,12 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, starts, words
 
 
-def _chunks(texts: list[str | None]):
-    """Slices of texts that hold about CHUNK characters (a longer text has one of its own)."""
+def _chunks(texts: list[str | None], size: int = CHUNK):
+    """Slices of texts that hold about ``size`` characters (a longer text has one of its own)."""
     lo, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t or "")
-        if held >= CHUNK:
+        if held >= size:
             yield lo, i + 1
             lo, held = i + 1, 0
     if lo < len(texts):
@@ -78,41 +78,63 @@ def _chunks(texts: list[str | None]):
 
 def _count(batches):
     counts: dict[str, np.ndarray] = {}
+
+    def sums():
+        for lang, total in counts.items():
+            at = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "bucket", "n"])
+        counts.clear()
+
     for b in batches:
         langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
         by_lang: dict[str, list[str]] = {}
         for lang, t in zip(langs, texts, strict=True):
             by_lang.setdefault(lang, []).append(t)
         for lang, some in by_lang.items():
+            if lang not in counts and len(counts) == HELD:
+                yield from sums()
             total = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
             for lo, hi in _chunks(some):
                 total += np.bincount(grams(some[lo:hi])[0], minlength=BUCKETS)
-        if len(counts) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    for lang, total in counts.items():
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "bucket", "n"])
+    yield from sums()
+
+
+def _dense(counts: pa.Table) -> pa.Table:
+    """One language's counts (lang, bucket, n) as one row (lang, counts), the counts of all buckets."""
+    total = np.zeros(BUCKETS, np.int64)
+    total[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    return pa.table({"lang": counts.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order, and log likelihoods (bucket, language), from all rows with text and language."""
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = known.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS * MOST_LANGUAGES rows
-    names = np.array(counts.column("lang").to_pylist(), object)
-    langs = sorted(set(names))
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    n = np.full((BUCKETS, len(langs)), PRIOR)
-    if langs:
-        place = {lang: i for i, lang in enumerate(langs)}
-        np.add.at(n, (counts.column("bucket").to_numpy(), np.array([place[x] for x in names], int)), counts.column("n").to_numpy())
-    return langs, np.log(n / n.sum(axis=0)).astype(np.float32) if langs else n
+    counts = known.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    by_lang = {r["lang"]: r["counts"] for r in counts.groupBy("lang").applyInArrow(_dense, "lang string, counts binary").toLocalIterator()}  # a row for each language
+    langs = sorted(by_lang)
+    table = np.empty((BUCKETS, len(langs)), np.float32)
+    for i, lang in enumerate(langs):
+        n = PRIOR + np.frombuffer(by_lang.pop(lang), np.int64)
+        table[:, i] = np.log(n / n.sum())
+    return langs, table
 
 
 def _sum_by(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, starts, axis=0)
 
 
+def _word_likelihoods(table: np.ndarray, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Log likelihoods (word, language), looked up for some words at a time."""
+    out, most = np.empty((len(starts), table.shape[1]), np.float32), max(1, LOOKED_UP // table.shape[1])
+    ends = np.append(starts[1:], len(h))
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + most, "right")))
+        out[lo:hi] = _sum_by(table[h[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo])
+        lo = hi
+    return out
+
+
 def mixtures(log_likelihood: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Language proportions of documents with at least one word each; log_likelihood is (word, language)."""
     p = np.exp(log_likelihood - log_likelihood.max(axis=1, keepdims=True))
@@ -150,13 +172,13 @@ def predict(texts: list[str | None], langs: list[str], table: np.ndarray) -> tup
     best, score, sets = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
     if not langs:
         return best, score, sets
-    for lo, hi in _chunks(texts):
+    for lo, hi in _chunks(texts, CHUNK * FEW // max(FEW, len(langs))):
         h, starts, words = grams([t or "" for t in texts[lo:hi]])
         some = np.nonzero(words)[0]
         if not len(some):
             continue
         with np.errstate(divide="ignore", invalid="ignore"):  # a set that can't say a word has likelihood zero
-            pi = mixtures(_sum_by(table[h], starts), words[some])
+            pi = mixtures(_word_likelihoods(table, h, starts), words[some])
         # float sums differ in the last digits with the neighbours in a chunk; six digits don't
         pi = np.round(pi.astype(float), 6)
         for i, row in zip((some + lo).tolist(), pi, strict=True):
@@ -198,8 +220,20 @@ def predictions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return identify(rows.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def _lettered(place: int):
+    """Keeps the rows whose text, the column at ``place``, has a letter."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([any(map(str.isalpha, t or "")) for t in b.column(place).to_pylist()], pa.bool_()))
+
+    return run
+
+
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", divisor: int = 4, held: int = 2) -> DataFrame:
-    """The rows of ``docs``, in its own columns, whose text is in some language: those that aren't ``und``."""
+    """The rows of ``docs``, in its own columns, whose text is in some language: those that aren't ``und``, or all with a letter if no language was learnt."""
     model = learn(docs.where(remainder(F.col(id_col), divisor) != held), text_col=text_col, lang_col=lang_col)
+    if not model[0]:
+        return docs.mapInArrow(_lettered(docs.columns.index(text_col)), docs.schema)
     names = tuple(next(c for c in (("_" * i) + n for i in range(1, 99)) if c not in docs.columns) for n in NAMES)
     return identify(docs, model, text_col=text_col, names=names).where(F.col(names[0]) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
