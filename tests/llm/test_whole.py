@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from waymark.llm import langid, mixing
+from waymark.llm import langid, mixing, wrappers
 from tests.llm.helpers import docs
 
 # LM scoring
@@ -71,3 +71,40 @@ def test_lookups_in_parts_are_the_same(monkeypatch):
 def test_lettered_documents_stay_when_no_language_was_learnt(spark):
     some = [(1, "hello", None), (2, "12 !", None), (3, None, None), (4, "", None), (5, "é", None)]
     assert sorted(r["doc_id"] for r in langid.keep_identified(docs(spark, some, ("lang_pred",))).collect()) == [1, 5]
+
+
+# HTML extraction
+
+PLAIN = "<body><div><h3>Menu of the site</h3></div><section><h2>About {0}</h2><p>{0} one two three four five</p><div><p>six seven {0} eight nine ten eleven</p></div></section></body>"
+
+
+def html_pages(spark, some):
+    return spark.createDataFrame(some, "page_id long, url string, html string")
+
+
+@pytest.mark.parametrize("hot", [wrappers.HOT_HOSTS, 2])
+def test_copies_of_a_page_are_no_template(spark, monkeypatch, hot):
+    monkeypatch.setattr(wrappers, "HOT_HOSTS", hot)
+    some = [(i, f"http://mirror.org/?session={i}", PLAIN.format("alpha") + f"<!-- {i} -->") for i in range(200)] + [(1000 + i, f"http://one.org/{i}", "<p>Only this paragraph.</p>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(html_pages(spark, some)).collect()}
+    assert {got[i] for i in range(200)} == {"About alpha\n\nalpha one two three four five\n\nsix seven alpha eight nine ten eleven"}
+    assert {got[1000 + i] for i in range(5)} == {"Only this paragraph."}
+
+
+@pytest.mark.parametrize("hot", [wrappers.HOT_HOSTS, 1])
+def test_every_page_is_read_by_its_hosts_wrapper(spark, monkeypatch, hot):
+    """65 pages of one host: none keeps a text that all of them have."""
+    monkeypatch.setattr(wrappers, "HOT_HOSTS", hot)
+    body = "<body><div><p>{0} one two three four five</p><h4>Imprint</h4><div><p>{0} six seven</p></div></div></body>"
+    some = [(i, f"http://host.org/{i}", body.format(f"w{i}")) for i in range(65)] + [(1000 + i, f"http://other{i}.org/", body.format("x")) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(html_pages(spark, some)).collect()}
+    assert {i: got[i] for i in range(65)} == {i: f"w{i} one two three four five\n\nw{i} six seven" for i in range(65)}
+    assert "Imprint" in got[1000]
+
+
+def test_wrappers_survive_bytes():
+    trees = [wrappers.parse(PLAIN.format(w)) for w in ("a", "b", "c")]
+    wrapper = wrappers.infer(trees)
+    again = wrappers.load(wrappers.dump(wrapper))
+    assert str(again) == str(wrapper)
+    assert wrappers._article(again) == wrappers._article(wrapper) and wrappers.extract(trees[1], again) == wrappers.extract(trees[1], wrapper)

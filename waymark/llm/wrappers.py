@@ -1,33 +1,36 @@
 """HTML extraction by wrappers: union-free regular expressions over token streams of one host.
 
-Pages of a host are aligned one after another, in groups of bounded size, to
-one expression (after RoadRunner, Crescenzi et al., 2001): runs of equal
-siblings become repeated groups, tokens that a page lacks become optional
-groups, and differing texts become slots.  What the expression then says about
-each text (constant or slot, where it stands, how much text it holds over all
-pages of the group) tells the article from what surrounds it.
+Pages of a host are aligned one after another to one expression (after
+RoadRunner, Crescenzi et al., 2001): runs of equal siblings become repeated
+groups, tokens that a page lacks become optional groups, and differing texts
+become slots.  A host that is dealt over several tasks has the expressions of
+its parts aligned in turn.  What the host's expression then says about each
+text (constant or slot, where it stands, how much text it holds over all pages
+of the host) tells the article from what surrounds it.
 """
 
 from __future__ import annotations
 
 import html as entities
+import marshal
 import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.common import shuffle_partitions
 from waymark.llm.url_filters import split_url
 
-#: Pages aligned to one expression.
+#: A host of up to so many pages is never dealt over several tasks.
 GROUP = 64
 #: A host is dealt over several tasks beyond this share of all pages, so there are at most this many such hosts.
 HOT_HOSTS = 1024
 #: Tags nested deeper than this are taken as part of their surroundings.
 DEEPEST = 150
-#: A text is a constant of the template if it is equal on all pages of a group, and on at least so many.
+#: A text is a constant of the template if it is equal on all pages of a host, and on at least so many whose content differs.
 CONSTANT_PAGES = 3
 
 # Names of HTML elements.
@@ -130,13 +133,15 @@ def parse(text: str) -> Node:
 class Group:
     """A part of an expression: a label with its parts, or a text; once, optional or repeated."""
 
-    __slots__ = ("label", "parts", "optional", "repeated", "text", "pages", "chars", "node")
+    __slots__ = ("label", "parts", "optional", "repeated", "text", "pages", "chars", "node", "index")
 
     def __init__(self, label: str, node: Node | None = None):
         self.label, self.node, self.parts = label, node, []
         self.optional = self.repeated = False
         self.text: str | None = None  # of a text: its constant, None for a slot
-        self.pages, self.chars = 1, 0
+        self.pages: tuple[int, ...] = ()  # of a text: digests of pages that hold it, as many as tell a constant
+        self.chars = 0
+        self.index: dict[str, Group] | None = None  # parts by label, once the expression is complete
 
     def __str__(self):
         inner = " ".join(map(str, self.parts)) if self.label != "#text" else "#text" if self.text is None else repr(self.text)
@@ -144,17 +149,34 @@ class Group:
         return f"({body}){'*' if self.optional else '+'}" if self.repeated else f"({body})?" if self.optional else body
 
 
-def expression(node: Node) -> Group:
-    """The expression of one page: adjacent siblings of one label are a repeated group."""
+def content(node: Node) -> int:
+    """A digest of a page's blocks and texts; markup that says nothing doesn't count."""
+    held = xxhash.xxh64()
+
+    def add(n):
+        for child in n.children:
+            if isinstance(child, str):
+                held.update(b"\0" + child.encode("utf-8", "surrogatepass"))
+            else:
+                held.update(b"\1" + child.label.encode("utf-8", "surrogatepass"))
+                add(child)
+        held.update(b"\2")
+
+    add(node)
+    return held.intdigest()
+
+
+def expression(node: Node, page: int = 0) -> Group:
+    """The expression of one page, whose digest is ``page``: adjacent siblings of one label are a repeated group."""
     group = Group(node.label, node)
     for child in node.children:
         if isinstance(child, str):
             part = Group("#text")
-            part.text, part.chars = child, len(child)
+            part.text, part.chars, part.pages = child, len(child), (page,)
         else:
-            part = expression(child)
+            part = expression(child, page)
         if group.parts and group.parts[-1].label == part.label:
-            _merge(group.parts[-1], part, False)
+            _merge(group.parts[-1], part)
             group.parts[-1].repeated = True
         else:
             group.parts.append(part)
@@ -162,29 +184,40 @@ def expression(node: Node) -> Group:
     return group
 
 
-def _merge(a: Group, b: Group, new_page: bool) -> None:
+def _merge(a: Group, b: Group) -> None:
     """Align b's parts to a's by their labels; what one of them lacks becomes optional."""
     a.optional |= b.optional
     a.repeated |= b.repeated
     a.chars += b.chars
-    a.pages += new_page
     if a.label == "#text":
+        if a.pages != b.pages:
+            a.pages = tuple(sorted({*a.pages, *b.pages})[:CONSTANT_PAGES])
         a.text = a.text if a.text == b.text else None
         return
     x, y = a.parts, b.parts
     if [p.label for p in x] == [p.label for p in y]:
         for p, q in zip(x, y, strict=True):
-            _merge(p, q, new_page)
+            _merge(p, q)
         return
-    # longest common subsequence of labels
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    # longest common subsequence of labels; those that only one of the two has can't be in it
+    shared = {p.label for p in x} & {q.label for q in y}
+    columns = [j for j in range(len(y)) if y[j].label in shared]
+    after = [0] * (len(y) + 1)
+    best = [after] * (len(x) + 1)
     for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i].label == y[j].label else max(best[i + 1][j], best[i][j + 1])
+        best[i] = best[i + 1]
+        if x[i].label in shared:
+            row, below, last = [0] * (len(y) + 1), best[i + 1], len(y)
+            for j in reversed(columns):
+                row[j + 1 : last] = [row[last]] * (last - j - 1)
+                row[j] = below[j + 1] + 1 if x[i].label == y[j].label else max(below[j], row[j + 1] if j + 1 < last else row[last])
+                last = j
+            row[:last] = [row[last]] * last
+            best[i] = row
     out, i, j = [], 0, 0
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i].label == y[j].label:
-            _merge(x[i], y[j], new_page)
+            _merge(x[i], y[j])
             out.append(x[i])
             i, j = i + 1, j + 1
         elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
@@ -199,20 +232,39 @@ def _merge(a: Group, b: Group, new_page: bool) -> None:
     a.parts = out[:1]
     for p in out[1:]:
         if p.label == a.parts[-1].label:
-            _merge(a.parts[-1], p, False)
+            _merge(a.parts[-1], p)
             a.parts[-1].repeated = True
         else:
             a.parts.append(p)
 
 
 def infer(pages: list[Node]) -> Group:
-    """The wrapper of a group of pages."""
-    wrapper = expression(pages[0])
+    """The wrapper of pages."""
+    wrapper = expression(pages[0], content(pages[0]))
     for page in pages[1:]:
-        _merge(wrapper, expression(page), True)
+        _merge(wrapper, expression(page, content(page)))
     return wrapper
 
 
+def dump(wrapper: Group) -> bytes:
+    """A wrapper as bytes; elements are told by their labels."""
+
+    def plain(g):
+        return g.label, g.optional, g.repeated, g.text, g.pages, g.chars, [plain(p) for p in g.parts]
+
+    return marshal.dumps(plain(wrapper))
+
+
+def load(data: bytes) -> Group:
+    def group(label, optional, repeated, text, pages, chars, parts):
+        g = Group(label, None if label == "#text" else Node(*label.partition(" ")[::2]))
+        g.optional, g.repeated, g.text, g.pages, g.chars = optional, repeated, text, pages, chars
+        g.parts = [group(*p) for p in parts]
+        return g
+
+    return group(*marshal.loads(data))
+
+
 def _article(wrapper: Group) -> str:
     """The label path of the part that holds the article; empty if no part stands out."""
     marked: dict[tuple, int] = {}
@@ -240,16 +292,18 @@ def _article(wrapper: Group) -> str:
         path, g = (*path, top.label), top
 
 
-def extract(page: Node, wrapper: Group) -> list[str]:
-    """The blocks of the article, read off a page by the wrapper of its group."""
-    where = _article(wrapper)
+def extract(page: Node, wrapper: Group, where: tuple | None = None) -> list[str]:
+    """The blocks of the article, read off a page by the wrapper of its host; ``where`` is the wrapper's article, if it is known."""
+    where = _article(wrapper) if where is None else where
 
     def blocks(node, group, inside, depth, out):
-        parts = {p.label: p for p in group.parts} if group is not None else {}
+        if group is not None and group.index is None:
+            group.index = {p.label: p for p in group.parts}
+        parts = group.index if group is not None else {}
         for child in node.children:
             if isinstance(child, str):
                 slot = parts.get("#text")
-                constant = slot is not None and slot.text is not None and slot.pages >= CONSTANT_PAGES
+                constant = slot is not None and slot.text is not None and len(slot.pages) >= CONSTANT_PAGES
                 if inside and (not constant or marked):
                     out.append(child)
             elif child.outside or (not (inside and marked) and child.tag == "header"):
@@ -266,7 +320,7 @@ def extract(page: Node, wrapper: Group) -> list[str]:
     marked = node.node is not None and node.node.article
     found = blocks(page, wrapper, not where, 0, [])
     if not found and where:
-        # a page built otherwise than its group: its own expression decides
+        # a page built otherwise than its host: its own expression decides
         own = expression(page)
         if (other := _article(own)) != where:
             where = other
@@ -274,28 +328,63 @@ def extract(page: Node, wrapper: Group) -> list[str]:
     return found
 
 
-def _extract_groups(batches):
-    """Rows (host, salt, page_id, url, html) in order of host and salt."""
-    held, key = [], None
+def _infer_parts(batches):
+    """Rows (host, salt, page_id, url, html) in order of host and salt; the wrapper of each host and salt."""
+    wrapper, key = None, None
 
     def done():
-        trees = [parse(h) for _, _, h in held]
-        wrapper = infer(trees)
-        texts = ["\n\n".join(extract(t, wrapper)) for t in trees]
-        out = [[p for p, *_ in held], [u for _, u, _ in held], texts, [len(t) for t in texts]]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([dump(wrapper)], pa.binary())], names=["host", "salt", "wrapper"])
 
     for b in batches:
-        for host, salt, page, url, text in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-            if held and ((host, salt) != key or len(held) == GROUP):
+        for host, salt, text in zip(*(b.column(c).to_pylist() for c in (0, 1, 4)), strict=True):
+            if wrapper is not None and (host, salt) != key:
                 yield done()
-            key = (host, salt)
-            held.append((page, url, text or ""))
-    if held:
+                wrapper = None
+            key, own = (host, salt), infer([parse(text or "")])
+            if wrapper is None:
+                wrapper = own
+            else:
+                _merge(wrapper, own)
+    if wrapper is not None:
         yield done()
 
 
+def _merge_parts(batches):
+    """Rows (host, salt, wrapper) in order of host and salt; the host's wrapper for each of its salts."""
+    wrapper, host, salts = None, None, []
+
+    def done():
+        data = dump(wrapper)
+        for salt in salts:
+            yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([salt], pa.int32()), pa.array([data], pa.binary())], names=["host", "salt", "wrapper"])
+
+    for b in batches:
+        for own, salt, data in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            if salts and own != host:
+                yield from done()
+                salts = []
+            if salts:
+                _merge(wrapper, load(data))
+            else:
+                host, wrapper = own, load(data)
+            salts.append(salt)
+    if salts:
+        yield from done()
+
+
+def _extract(batches):
+    """Rows (page_id, url, html, wrapper) in order of host and salt, whose first row alone has the wrapper."""
+    wrapper, where = None, None
+    for b in batches:
+        texts = []
+        for text, data in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if data is not None:
+                wrapper = load(data)
+                where = _article(wrapper)
+            texts.append("\n\n".join(extract(parse(text or ""), wrapper, where)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page row: page_id, url, text (blocks joined by two line feeds; empty if none), n_chars (its code points).
 
@@ -304,7 +393,8 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     Repeated rows stay repeated, null ids stay null, other columns are not
     read.  Character references are decoded, white space within a block is one
     space, markup that is never closed ends where HTML says or at the page's
-    end.  Which pages are aligned together depends on ids and hosts alone.
+    end.  All pages of a host are aligned together; copies of a page, told by
+    its blocks and texts, count as one where a text is judged a constant.
     """
     spark = pages.sparkSession
     host = split_url(F.col("url"))[0]
@@ -317,4 +407,10 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     place = F.xxhash64("page_id", "url")
     rows = rows.join(F.broadcast(dealt), "host", "left").withColumn("salt", F.pmod(place, F.coalesce("salts", F.lit(1))).cast("int"))
     ordered = rows.select("host", "salt", "page_id", "url", "html").repartition(shuffle_partitions(spark), "host", "salt").sortWithinPartitions("host", "salt", place, "page_id")
-    return ordered.mapInArrow(_extract_groups, "page_id long, url string, text string, n_chars long")
+    parts = ordered.mapInArrow(_infer_parts, "host string, salt int, wrapper binary")
+    merged = parts.repartition("host").sortWithinPartitions("host", "salt").mapInArrow(_merge_parts, "host string, salt int, wrapper binary")
+    # both uses of the pages read one shuffle; only the first row of each host and salt carries the wrapper to Python
+    both = ordered.join(merged.hint("merge"), ["host", "salt"], "left")
+    first = F.row_number().over(Window.partitionBy("host", "salt").orderBy(place, "page_id")) == 1
+    led = both.select("host", "salt", "page_id", "url", "html", F.when(first, F.col("wrapper")).alias("wrapper"))
+    return led.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
