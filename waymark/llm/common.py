@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.sources.tables import fresh_path, materialize, remove, shared_dir
+
+__all__ = ["fold", "fresh_path", "materialize", "numbered_columns", "quoted", "remove", "shared_dir", "shuffle_partitions", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -17,41 +17,14 @@ def fold(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a folder of this process if that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="waymark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of any file system that Spark reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session is gone: its folder goes with the cluster
-        pass
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, deleted when this process ends."""
-    path = f"{shared_dir(spark)}/waymark-{tag}-{uuid.uuid4().hex}"
-    atexit.register(_remove_quietly, spark, path)
-    return path
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, so a lost executor costs no more than its own tasks."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ... by place, so that no name of an operator's own can clash with them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

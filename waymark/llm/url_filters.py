@@ -1,8 +1,8 @@
 """URL filters by a sort-merge range join.
 
 A rule names a host and a path prefix.  With the labels of a host in reverse
-order (``a.b.org`` -> ``org,b,a,``) the hosts under a rule's host are one
-interval of keys.  URLs and rules are dealt over range buckets of that key; a
+order (``a.b.org`` -> ``org.b.a.``; a label never holds a dot) the hosts under
+a rule's host are one interval of keys.  URLs and rules are dealt over range buckets of that key; a
 rule goes to every bucket its interval touches, and a key that fills several
 buckets is salted over them.  Each bucket is sorted once and swept once, with
 a stack of the nested rule hosts that are open at the current key.
@@ -20,8 +20,6 @@ from pyspark.sql import types as T
 
 from waymark.llm.common import fold, shuffle_partitions
 
-#: Sorts after whatever may follow a prefix.
-_TOP = "\U0010ffff"
 #: Keys read per bucket to place the bucket bounds.  Bounds steer balance alone, never results.
 SAMPLE_PER_BUCKET = 20
 
@@ -44,7 +42,13 @@ def split_url(url: F.Column) -> tuple[F.Column, F.Column]:
 
 
 def host_key(host: F.Column) -> F.Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(","))
+    """Labels in reverse order, each with a dot after it: a host is under another if and only if its key begins with the other's."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
+
+
+def _after(key: str) -> str:
+    """The least string after all that begin with a key: a slash, the character after the dot, for its last dot."""
+    return key[:-1] + "/"
 
 
 def _sweep(batches, default):
@@ -109,7 +113,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
 
     @F.pandas_udf("array<int>")
     def rule_buckets(key: pd.Series) -> pd.Series:
-        return pd.Series([list(range(bisect_left(splits, k), bisect_right(splits, k + _TOP) + 1)) for k in key])
+        return pd.Series([list(range(bisect_left(splits, k), bisect_left(splits, _after(k)) + 1)) for k in key])
 
     salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(1 << 30))
     points = urls.select(url_bucket("key", salt).alias("bucket"), "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
