@@ -4,9 +4,9 @@ An ARC file opens with a version block, which names the fields of the record
 header lines that follow (five in version 1, ten in version 2); each record is
 such a line, as many bytes as it declares, and a line feed.  The converter
 reads these by their declared lengths and synthesises WARC identifiers, dates,
-types and digests.  Archives are written by Spark's text sink, whose record
-separator is the blank line that ends a WARC record, and read back by their
-own declared lengths.
+types and digests.  Archives are gzip members, one for each record, written by
+Spark's text sink with an empty member as its separator: any gzip reader skips
+it, and Spark can split an archive at it, so no archive is ever read whole.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +39,11 @@ REVISIT_BYTES = 1000
 #: The capture date of pages that state none.
 CAPTURE_DATE = "20240101000000"
 
+#: A gzip member that holds nothing; in no member of a record but by a chance of 2^-160.
+EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + bytes(8)
+
 RECORDS = "record_id string, date string, type string, uri string, content_type string, page_id long, block binary, payload_bytes long, payload_digest string"
-PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, uri string, date string"
+PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, uri string, date string, refers_to_record string"
 
 
 def _field(s: str | None) -> str:
@@ -99,8 +104,8 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return (block[: at + 4], block[at + 4 :]) if at >= 0 else (block, b"")
 
 
-def convert(header: dict[str, str], block: bytes) -> dict:
-    """One ARC record as the fields of a WARC record."""
+def convert(header: dict[str, str], block: bytes, place: str = "") -> dict:
+    """One ARC record as the fields of a WARC record; ``place`` tells records apart that are equal."""
     url = header["URL"]
     if url.startswith("filedesc:"):
         kind, content_type, payload = "warcinfo", "application/warc-fields", block
@@ -113,7 +118,7 @@ def convert(header: dict[str, str], block: bytes) -> dict:
         head = split_http(block)[0]
         at = head.find(b"\r\nX-Page-Id: ")
         page = int(head[at + 13 : head.index(b"\r\n", at + 2)]) if at >= 0 else None
-    name = hashlib.sha1("\n".join([url, header["Archive-date"]]).encode() + b"\n" + block).digest()
+    name = hashlib.sha1("\n".join([url, header["Archive-date"], place]).encode() + b"\n" + block).digest()
     return {
         "record_id": f"<urn:uuid:{uuid.UUID(bytes=name[:16], version=5)}>",
         "date": _date(header["Archive-date"]),
@@ -131,28 +136,41 @@ def _base32(hex_digest: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def warc_record(r: dict, refers_to: int | None = None) -> bytes:
-    """Header, blank line and block; the two line ends after the block are the separator of the archive."""
+def warc_record(r: dict, refers: dict | None = None) -> bytes:
+    """Header, blank line, block and the two line ends after it; with ``refers`` (page_id, record_id, uri, date) a revisit of that record, without its payload."""
     block = r["block"]
     kind = r["type"]
     extra = []
-    if refers_to is not None:
+    if refers is not None:
         kind, block = "revisit", split_http(block)[0]
-        extra = [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page-Id: {refers_to}"]
+        extra = [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {refers['record_id']}", f"WARC-Refers-To-Target-URI: {refers['uri']}", f"WARC-Refers-To-Date: {refers['date']}", f"X-Refers-To-Page-Id: {refers['page_id']}"]
+    uri = [] if kind == "warcinfo" else [f"WARC-Target-URI: {r['uri']}"]
+    payload = [] if kind == "warcinfo" else [f"WARC-Payload-Digest: {_base32(r['payload_digest'])}", f"X-Payload-Length: {r['payload_bytes']}"]
     lines = [
         WARC_VERSION,
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {r['record_id']}",
         f"WARC-Date: {r['date']}",
-        f"WARC-Target-URI: {r['uri']}",
+        *uri,
         f"WARC-Block-Digest: {_base32(hashlib.sha1(block).hexdigest())}",
-        f"WARC-Payload-Digest: {_base32(r['payload_digest'])}",
-        f"X-Payload-Length: {r['payload_bytes']}",
+        *payload,
         *extra,
         f"Content-Type: {r['content_type']}",
         f"Content-Length: {len(block)}",
     ]
-    return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8") + block
+    return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8") + block + b"\r\n\r\n"
+
+
+def _info(place: str) -> dict:
+    """The record that opens an archive."""
+    block = b"software: waymark\r\nformat: WARC File Format 1.1\r\n"
+    name = hashlib.sha1(f"warcinfo {place}".encode()).digest()
+    return {"record_id": f"<urn:uuid:{uuid.UUID(bytes=name[:16], version=5)}>", "date": _date(CAPTURE_DATE), "type": "warcinfo", "content_type": "application/warc-fields", "block": block}
+
+
+def _member(record: bytes) -> bytes:
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(record) + z.flush()
 
 
 def read_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -178,7 +196,7 @@ def _arrow(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _RECORD_SCHEMA = pa.schema([("record_id", pa.string()), ("date", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("content_type", pa.string()), ("page_id", pa.int64()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
-_PAGE_SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("uri", pa.string()), ("date", pa.string())])
+_PAGE_SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("refers_to_record", pa.string())])
 #: Bytes of blocks in one batch between the JVM and Python.
 _BATCH = 8 << 20
 
@@ -210,8 +228,18 @@ def _pages_to_arc(batches):
 
 
 def _convert_arcs(batches):
-    records = (convert(h, block) for b in batches for content in b.column(0).to_pylist() if content for h, block in read_arc(io.BytesIO(content)))
-    yield from _batched((r for r in records if r["type"] != "warcinfo"), _RECORD_SCHEMA, lambda r: len(r["block"]))
+    part = TaskContext.get().partitionId()
+
+    def records():
+        n = 0
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                for h, block in read_arc(io.BytesIO(content)) if content else ():
+                    n += 1
+                    yield convert(h, block, f"{part}/{n}")
+
+    # the version block becomes the warcinfo record that opens each archive when it is written
+    yield from _batched((r for r in records() if r["type"] != "warcinfo"), _RECORD_SCHEMA, lambda r: len(r["block"]))
 
 
 def _arc_convert_pages(batches):
@@ -224,48 +252,77 @@ def convert_arcs(arcs: DataFrame, *, content_col: str = "content") -> DataFrame:
 
 
 def mark_revisits(records: DataFrame, *, least: int = REVISIT_BYTES) -> DataFrame:
-    """Records with ``refers_to``: the page whose response holds the payload, null for responses themselves."""
-    same = records.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1")
+    """Records (a written table) with ``refers``: page_id, record_id, uri and date of the response that holds the payload, null for responses themselves."""
+    holder = F.max(F.struct("page_id", "record_id", "uri", "date")).alias("holder")
+    same = records.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest", "payload_bytes").agg(holder, F.count("*").alias("n")).where("n > 1")
     same = materialize(same.drop("n"), "payloads")
     out = records.join(same, ["payload_digest", "payload_bytes"], "left")
-    return out.withColumn("refers_to", F.when(F.col("page_id") != F.col("holder"), F.col("holder"))).drop("holder")
+    return out.withColumn("refers", F.when(F.col("page_id") != F.col("holder.page_id"), F.col("holder"))).drop("holder")
 
 
 def _to_warc(batches):
+    part, opened = TaskContext.get().partitionId(), False
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([warc_record(r, r["refers_to"]) for r in b.to_pylist()], pa.binary())], names=["value"])
+        members = [_member(warc_record(r, r["refers"])) for r in b.to_pylist()]
+        if members and not opened:
+            members.insert(0, _member(warc_record(_info(str(part)))))
+            opened = True
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.large_binary()).cast(pa.binary())], names=["value"])
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Archives of whole records under ``path``, one gzip file for each partition."""
+    """Archives under ``path``, one for each partition: a warcinfo record, then the records, each a gzip member of its own.
+
+    The files are WARC as ``.warc.gz`` files are; Spark names them ``.txt``,
+    and by that name reads them member by member instead of unpacking them.
+    """
     out = records.mapInArrow(_to_warc, "value binary").select(F.col("value").cast("string").alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    out.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+
+
+def _fields(header: dict[str, str], block: bytes) -> dict:
+    """What a record says of its page; lengths and digests of responses are taken anew from the bytes."""
+    head, payload = split_http(block)
+    at = head.find(b"\r\nX-Page-Id: ")
+    revisit = header["WARC-Type"] == "revisit"
+    return {
+        "page_id": int(head[at + 13 : head.index(b"\r\n", at + 2)]) if at >= 0 else None,
+        "payload_bytes": int(header["X-Payload-Length"]) if revisit else len(payload),
+        "payload_digest": base64.b32decode(header["WARC-Payload-Digest"][5:]).hex() if revisit else hashlib.sha1(payload).hexdigest(),
+        "record_type": header["WARC-Type"],
+        "refers_to": int(header["X-Refers-To-Page-Id"]) if revisit else None,
+        "record_id": header["WARC-Record-ID"],
+        "uri": header["WARC-Target-URI"],
+        "date": header["WARC-Date"],
+        "refers_to_record": header.get("WARC-Refers-To"),
+    }
 
 
 def _from_warc(batches):
+    """Rows of whole archives or of single members, packed or not."""
+
     def rows():
         for b in batches:
             for content in b.column(0).to_pylist():
-                for h, block in read_warc(gzip.GzipFile(fileobj=io.BytesIO(content))):
-                    head, payload = split_http(block)
-                    at = head.find(b"\r\nX-Page-Id: ")
-                    revisit = h["WARC-Type"] == "revisit"
-                    yield {
-                        "page_id": int(head[at + 13 : head.index(b"\r\n", at + 2)]) if at >= 0 else None,
-                        "payload_bytes": int(h["X-Payload-Length"]) if revisit else len(payload),
-                        "payload_digest": base64.b32decode(h["WARC-Payload-Digest"][5:]).hex() if revisit else hashlib.sha1(payload).hexdigest(),
-                        "record_type": h["WARC-Type"],
-                        "refers_to": int(h["X-Refers-To-Page-Id"]) if revisit else None,
-                        "record_id": h["WARC-Record-ID"],
-                        "uri": h["WARC-Target-URI"],
-                        "date": h["WARC-Date"],
-                    }
-
-    yield from _batched(rows(), _PAGE_SCHEMA, lambda r: 200)
-
-
-def read_warcs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under ``path``; lengths and digests of responses are taken anew from the bytes."""
+                if content:
+                    stream = io.BytesIO(content)
+                    for h, block in read_warc(gzip.GzipFile(fileobj=stream) if content[:2] == b"\x1f\x8b" else stream):
+                        if h["WARC-Type"] != "warcinfo":
+                            yield _fields(h, block)
+
+    yield from _batched(rows(), _PAGE_SCHEMA, lambda r: 400)
+
+
+def read_warcs(spark: SparkSession, path: str, *, members: bool = False) -> DataFrame:
+    """One row per record but warcinfo of the archives under ``path``.
+
+    With ``members``, archives that ``write_warc`` wrote are split at their
+    records, whatever their length; others are read a file at a time, of 2 GB
+    at most.
+    """
+    if members:
+        lines = spark.read.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+        return lines.select(F.col("value").cast("binary").alias("content")).mapInArrow(_from_warc, PAGES)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_from_warc, PAGES)
 
 
@@ -274,12 +331,16 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
     One row per page row.  Null html is an empty payload; null urls are
     written as ``-``; of equal payloads of at least 1000 bytes the rows with
-    the largest id are responses and the others revisit them; rows with null
-    ids are always responses; repeated rows with the largest id are all
-    responses.  Other columns are not read.  An empty table has no records.
+    the largest id are responses and the others revisit them (its record, by
+    its identifier, date and address); rows with null ids are always
+    responses; repeated rows with the largest id are all responses.  Every
+    record has an identifier of its own.  A very long page is a record of its
+    own length.  Other columns are not read.  An empty table has no records.
     """
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    write_warc(mark_revisits(rows.mapInArrow(_arc_convert_pages, RECORDS)), path)
-    return read_warcs(spark, path)
+    # converted once: what is referred to is what is written
+    records = materialize(rows.mapInArrow(_arc_convert_pages, RECORDS), "records")
+    write_warc(mark_revisits(records), path)
+    return read_warcs(spark, path, members=True)
