@@ -107,6 +107,7 @@ FROM m"""
 
 def _canonical_sql(column: str) -> str:
     t = f"regexp_replace({_LOWER.format(f"coalesce({column}, '')")}, '{licenses.COPYRIGHT_LINE.replace('(?md)', '(?m)')}', ' ', 'g')"
+    t = f"regexp_replace({t}, '{licenses.TITLE}', ' ')"
     t = rf"' ' || trim(regexp_replace({t}, '[\x00-\x2F\x3A-\x60\x7B-\x7F©‘’“”–—]+', '  ', 'g')) || ' '"
     for variant, spelling in licenses.EQUIVALENT:
         t = f"replace({t}, ' {variant} ', ' {spelling} ')"
@@ -119,8 +120,8 @@ def _values(rows) -> str:
 
 _OP7 = f"""
 WITH d AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS text_digest FROM documents),
-k AS (SELECT license, sha256({_canonical_sql("body")}) AS digest FROM (VALUES {_values(licenses.TEXTS.items())}) t(license, body)),
-n AS (SELECT license, sha256({_canonical_sql("body")}) AS digest FROM (VALUES {_values(licenses.NOTICES)}) t(license, body)),
+k AS (SELECT license, sha256({_canonical_sql("body")}) AS digest FROM (VALUES {_values(licenses.whole_texts())}) t(license, body)),
+n AS (SELECT DISTINCT license, sha256({_canonical_sql("body")}) AS digest FROM (VALUES {_values(licenses.notices())}) t(license, body)),
 l AS (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
 f AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices FROM (SELECT DISTINCT doc_id, license FROM l JOIN n USING (digest)) GROUP BY doc_id)
 SELECT d.doc_id AS doc_id, text_digest, license, coalesce(notices, '') AS notices FROM d LEFT JOIN k ON text_digest = k.digest LEFT JOIN f ON d.doc_id = f.doc_id"""
