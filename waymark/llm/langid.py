@@ -9,6 +9,8 @@ shrinks one by one as long as the penalised likelihood doesn't fall.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,9 +67,15 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _chunks(texts: list[str | None], size: int = CHUNK):
-    """Slices of texts that hold about ``size`` characters (a longer text has one of its own)."""
+    """Slices of texts that hold about ``size`` characters; a text longer than CHUNK has one of its own."""
     lo, held = 0, 0
     for i, t in enumerate(texts):
+        if len(t or "") > CHUNK:
+            if lo < i:
+                yield lo, i
+            yield i, i + 1
+            lo, held = i + 1, 0
+            continue
         held += len(t or "")
         if held >= size:
             yield lo, i + 1
@@ -135,21 +143,36 @@ def _word_likelihoods(table: np.ndarray, h: np.ndarray, starts: np.ndarray) -> n
     return out
 
 
-def mixtures(log_likelihood: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Language proportions of documents with at least one word each; log_likelihood is (word, language)."""
-    p = np.exp(log_likelihood - log_likelihood.max(axis=1, keepdims=True))
+def mixtures(log_likelihood: np.ndarray, words: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Language proportions of documents with at least one word each; log_likelihood is (word, language), ``times`` how often each word counts."""
+    p = log_likelihood - log_likelihood.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
     owner = np.repeat(np.arange(len(words)), words)
-    starts = np.concatenate([[0], np.cumsum(words)[:-1]])
+    times = np.ones(len(p), np.float32) if times is None else times.astype(np.float32)
+    total = np.bincount(owner, times, len(words))
     k = p.shape[1]
+    step = max(1, LOOKED_UP // (8 * k))
 
     def fit(pi, rounds):
-        for _ in range(rounds):
-            joint = p * pi[owner]
-            pi = _sum_by(joint / joint.sum(axis=1, keepdims=True), starts) / words[:, None]
-        return pi, _sum_by(np.log((p * pi[owner]).sum(axis=1)), starts)
+        for again in range(rounds + 1):
+            shares, likelihood = np.zeros((len(words), k)), np.zeros(len(words))
+            for lo in range(0, len(p), step):
+                who = owner[lo : lo + step]
+                first = np.nonzero(np.diff(who, prepend=-1))[0]
+                joint = p[lo : lo + step] * pi[who]
+                said = joint.sum(axis=1, keepdims=True)
+                weight = times[lo : lo + step]
+                if again == rounds:
+                    likelihood[who[first]] += _sum_by(np.log(said[:, 0]) * weight, first)
+                else:
+                    joint *= weight[:, None] / said
+                    shares[who[first]] += _sum_by(joint, first)
+            if again < rounds:
+                pi = (shares / total[:, None]).astype(np.float32)
+        return pi, likelihood
 
     pi, likelihood = fit(np.full((len(words), k), 1 / k, np.float32), ROUNDS)
-    price = PENALTY * np.log(words + 1.0)  # of one more language
+    price = PENALTY * np.log(total + 1.0)  # of one more language
     for _ in range(k - 1):
         worst = np.where(pi > 0, pi, np.inf).argmin(axis=1)
         smaller = pi.copy()
@@ -167,18 +190,58 @@ def mixtures(log_likelihood: np.ndarray, words: np.ndarray) -> np.ndarray:
     return pi
 
 
+_GAP = re.compile(r"\s")
+
+
+def _long(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log likelihoods (distinct word, language) of one long text, read piece by piece, and how often each word occurs."""
+    keys, times, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, table.shape[1]), np.float32)
+    lo = 0
+    while lo < len(text):
+        cut = _GAP.search(text, lo + CHUNK)
+        hi = cut.end() if cut else len(text)
+        h, starts, _ = grams([text[lo:hi]])
+        lo = hi
+        if not len(starts):
+            continue
+        # a word is told by the sequence of its n-grams
+        place = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+        mixed = (h.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(17)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        own = np.add.reduceat((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), starts)
+        own, at, n = np.unique(own, return_index=True, return_counts=True)
+        seen = np.searchsorted(keys, own)
+        old = (seen < len(keys)) & (keys[np.minimum(seen, max(len(keys) - 1, 0))] == own) if len(keys) else np.zeros(len(own), bool)
+        times[seen[old]] += n[old]
+        new = ~old
+        ends = np.append(starts[1:], len(h))
+        lengths = ends[at[new]] - starts[at[new]]
+        if not new.any():
+            continue
+        begin = np.cumsum(lengths) - lengths
+        picked = np.repeat(starts[at[new]] - begin, lengths) + np.arange(lengths.sum())
+        more = _word_likelihoods(table, h[picked], begin)
+        order = np.argsort(np.concatenate([keys, own[new]]), kind="stable")
+        keys, times, rows = (np.concatenate(x)[order] for x in ((keys, own[new]), (times, n[new]), (rows, more)))
+    return rows, times
+
+
 def predict(texts: list[str | None], langs: list[str], table: np.ndarray) -> tuple[list[str], list[float], list[str]]:
     """Best language, its share, and all languages of the chosen set with their shares, for each text."""
     best, score, sets = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
     if not langs:
         return best, score, sets
-    for lo, hi in _chunks(texts, CHUNK * FEW // max(FEW, len(langs))):
-        h, starts, words = grams([t or "" for t in texts[lo:hi]])
-        some = np.nonzero(words)[0]
-        if not len(some):
+    size = CHUNK * FEW // max(FEW, len(langs))
+    for lo, hi in _chunks(texts, size):
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):  # a set that can't say a word has likelihood zero
+            if hi == lo + 1 and len(texts[lo] or "") > CHUNK:
+                rows, times = _long(texts[lo], table)
+                some, pi = (np.zeros(1, int), mixtures(rows, np.array([len(rows)]), times)) if len(rows) else ([], None)
+            else:
+                h, starts, words = grams([t or "" for t in texts[lo:hi]])
+                some = np.nonzero(words)[0]
+                pi = mixtures(_word_likelihoods(table, h, starts), words[some]) if len(some) else None
+        if pi is None:
             continue
-        with np.errstate(divide="ignore", invalid="ignore"):  # a set that can't say a word has likelihood zero
-            pi = mixtures(_word_likelihoods(table, h, starts), words[some])
         # float sums differ in the last digits with the neighbours in a chunk; six digits don't
         pi = np.round(pi.astype(float), 6)
         for i, row in zip((some + lo).tolist(), pi, strict=True):
@@ -196,7 +259,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col:
 
     ``lang_pred`` is the language with the largest share (ties: the first in
     order), ``und`` with score 0 if the text is null or has no letter, or if
-    no language was learnt.  Rows, repeated ones too, stay as they are.
+    no language was learnt.  Rows, repeated ones too, stay as they are.  A text
+    of more than CHUNK characters is read piece by piece into its distinct
+    words, which take 4 bytes a language and 16 besides.
     """
     langs, table = model
     new = list(names)
@@ -230,10 +295,23 @@ def _lettered(place: int):
     return run
 
 
-def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", divisor: int = 4, held: int = 2) -> DataFrame:
-    """The rows of ``docs``, in its own columns, whose text is in some language: those that aren't ``und``, or all with a letter if no language was learnt."""
+#: The share that one language must have in a document for the document to be in it.
+LEAST_SHARE = 0.5
+
+
+def keep_identified(docs: DataFrame, *, languages: list[str] | None = None, least_share: float = LEAST_SHARE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", divisor: int = 4, held: int = 2) -> DataFrame:
+    """The rows of ``docs``, in its own columns, whose text is in one language: a language of ``languages`` (None: any that was learnt) has ``least_share`` of its words or more.
+
+    Rejected are texts without a letter, mixtures that no language leads and,
+    with ``languages``, texts in others.  If no language was learnt, all texts
+    with a letter stay.
+    """
     model = learn(docs.where(remainder(F.col(id_col), divisor) != held), text_col=text_col, lang_col=lang_col)
     if not model[0]:
         return docs.mapInArrow(_lettered(docs.columns.index(text_col)), docs.schema)
     names = tuple(next(c for c in (("_" * i) + n for i in range(1, 99)) if c not in docs.columns) for n in NAMES)
-    return identify(docs, model, text_col=text_col, names=names).where(F.col(names[0]) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = identify(docs, model, text_col=text_col, names=names)
+    led = (F.col(names[0]) != "und") & (F.col(names[1]) >= least_share)
+    if languages is not None:
+        led = led & F.col(names[0]).isin(languages)
+    return found.where(led).select(*[F.col(f"`{c}`") for c in docs.columns])
