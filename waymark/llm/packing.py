@@ -1,8 +1,10 @@
 """Lexical retrieval packing into windows of 2048 tokens.
 
-Documents are tokenised where they lie and dealt over shards of bounded size.
-A shard is a BM25 inverted index: the first unused document seeds a window,
-the index returns its unused neighbours, and these fill the window in order of
+Documents are tokenised where they lie and sorted by minima of hashes of their
+tokens, so that texts with many tokens in common lie side by side, whatever
+the size of the corpus; shards of bounded size are cut from that order.  A
+shard is a BM25 inverted index: the first unused document seeds a window, the
+index returns its unused neighbours, and these fill the window in order of
 score.  A document that doesn't fit is cut, and its rest seeds the next
 window.  The last window of a shard is cut into sequences whose lengths are
 powers of two, which need no padding either.
@@ -11,23 +13,33 @@ powers of two, which need no padding either.
 from __future__ import annotations
 
 import json
-import math
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import materialize, shuffle_partitions
+
 WINDOW = 2048
 #: The id that ends each document.
 END = 1
-#: Bytes of text for each shard, on average.
-SHARD_BYTES = 8 << 20
-#: BM25's constants; the seed's terms that are looked up (those that weigh most); neighbours ranked at a time.
-K1, B, QUERY_TERMS, RANKED = 1.2, 0.75, 32, 128
+#: Tokens of a shard (some 8 MB of text); a longer document is a shard with others before it.
+SHARD_TOKENS = 2_000_000
+#: Minima of hashes that a document is sorted by, and the odd numbers that make the hashes.
+SORTED_BY = [0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35]
+#: BM25's constants; neighbours ranked at a time.
+K1, B, RANKED = 1.2, 0.75, 128
+# The normaliser and pre-tokeniser of the tokenizer whose pieces between spaces can be encoded alone.
+BY_PIECE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 #: Pieces of text (between spaces and line ends) whose ids a Python worker keeps.
 CACHE = 500_000
 
@@ -85,9 +97,7 @@ class Encoder:
         self.code = "H" if self.width == 2 else "I"
         self.known = _Known(self.tokenizer, self.code)
         shape = json.loads(self.tokenizer.to_str())
-        self.by_piece = [(shape[k] or {}).get("type") for k in ("normalizer", "pre_tokenizer")] == ["Sequence"] * 2 and (
-            [n["type"] for n in shape["normalizer"]["normalizers"]], [n["type"] for n in shape["pre_tokenizer"]["pretokenizers"]]
-        ) == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+        self.by_piece = all(shape[k] == v for k, v in BY_PIECE.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
@@ -113,22 +123,37 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def _minima(ids: list[bytes], sizes: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each document, minima of hashes of its ids; documents that share most ids mostly share them too."""
+    x = np.frombuffer(b"".join(ids), f"<u{width}").astype(np.uint32) + np.uint32(1)
+    starts = np.cumsum(sizes) - sizes
+    out = []
+    for odd in SORTED_BY:
+        h = x * np.uint32(odd)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        h ^= h >> np.uint32(13)
+        out.append(np.minimum.reduceat(h, starts))
+    return out
+
+
 def _tokenise(path):
     def run(batches):
         enc = encoder(path)
         end = array(enc.code, [END]).tobytes()
         for b in batches:
-            texts = [t or "" for t in b.column(2).to_pylist()]
+            texts = [t or "" for t in b.column(1).to_pylist()]
             for at in range(0, len(texts), 500):
                 ids = [x + end for x in enc.encode(texts[at : at + 500])]
-                sizes = pa.array([len(x) // enc.width for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), b.column(1).slice(at, 500), sizes, pa.array(ids, pa.binary())], names=["shard", "doc_id", "n", "ids"])
+                sizes = np.array([len(x) // enc.width for x in ids])
+                minima = [pa.array(m, pa.int64()) for m in _minima(ids, sizes, enc.width)]
+                yield pa.RecordBatch.from_arrays([*minima, b.column(0).slice(at, 500), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["k0", "k1", "k2", "doc_id", "n", "ids"])
 
     return run
 
 
 class Index:
-    """BM25 over one shard's documents (arrays of ids)."""
+    """BM25 over one shard's documents (arrays of ids); terms of more than half of them tell nothing apart and are left out."""
 
     def __init__(self, docs: list[np.ndarray]):
         self.docs = docs
@@ -137,46 +162,47 @@ class Index:
         terms, tf = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         owner = np.repeat(np.arange(len(docs)), sizes)
         length = np.array([len(d) for d in docs], float)
-        vocabulary, term = np.unique(terms, return_inverse=True)
+        _, term = np.unique(terms, return_inverse=True)
+        telling = (np.bincount(term) * 2 <= max(len(docs), 2))[term]
+        term, tf, owner = term[telling], tf[telling], owner[telling]
         df = np.bincount(term)
         idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / length.mean()))
         by_term = np.argsort(term, kind="stable")
         self.posted, self.weight = owner[by_term], weight[by_term].astype(np.float32)
         self.lists = np.concatenate([[0], np.cumsum(df)])
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
-        self.term, self.own = term, weight
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(docs)))])
+        self.term = term
         self.used = np.zeros(len(docs), bool)
 
-    def neighbours(self, seed: int) -> list[int]:
-        """Unused documents that share a term with the seed, best first; ties in order of the shard."""
-        lo, hi = self.first[seed], self.first[seed + 1]
-        terms = self.term[lo:hi]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.own[lo:hi], QUERY_TERMS)[:QUERY_TERMS]]
-        score = np.zeros(len(self.docs), np.float32)
-        for t in terms.tolist():
-            a, b = self.lists[t], self.lists[t + 1]
-            score[self.posted[a:b]] += self.weight[a:b]
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """All documents, unused so far, that share a term with the seed, best first; ties in order of the shard."""
+        terms = self.term[self.first[seed] : self.first[seed + 1]]
+        starts, sizes = self.lists[terms], self.lists[terms + 1] - self.lists[terms]
+        at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        score = np.bincount(self.posted[at], self.weight[at], len(self.docs))
         score[self.used] = 0
-        best = np.argpartition(-score, RANKED)[:RANKED] if len(score) > RANKED else np.arange(len(score))
-        best = best[np.lexsort((best, -score[best]))]
-        return [i for i in best.tolist() if score[i] > 0]
+        left = np.nonzero(score)[0]
+        while len(left):
+            edge = np.partition(score[left], len(left) - RANKED)[len(left) - RANKED] if len(left) > RANKED else 0
+            best = left[score[left] >= edge]
+            yield from best[np.lexsort((best, -score[best]))].tolist()
+            left = left[score[left] < edge]
 
 
 def pack(docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece of a shard's documents."""
     index, pieces = Index(docs), []
     sequence, room, following = 0, WINDOW, 0
-    queue: list[int] = []
+    queue: Iterator[int] = iter(())
     while True:
-        if not queue:
+        doc, start = next(queue, -1), 0
+        if doc < 0:
             while following < len(docs) and index.used[following]:
                 following += 1
             if following == len(docs):
                 break
-            queue = [following]
-        doc, start = queue.pop(0), 0
+            doc = following
         if index.used[doc]:
             continue
         index.used[doc] = True
@@ -188,7 +214,10 @@ def pack(docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
             if not room:
                 sequence, room, fresh = sequence + 1, WINDOW, True
         # what began a window is its seed; a full window leaves the next one to the next seed
-        queue = index.neighbours(doc) if fresh and room < WINDOW else queue if room < WINDOW else []
+        if room == WINDOW:
+            queue = iter(())
+        elif fresh:
+            queue = index.neighbours(doc)
     return _even_end(pieces, sequence, WINDOW - room)
 
 
@@ -212,51 +241,57 @@ def _even_end(pieces, sequence, held):
     return out
 
 
-def _pack_shards(batches):
-    """Rows (shard, doc_id, n, ids) in order of shard."""
-    shard, rows = None, []
-
-    def done():
-        docs = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4") for _, n, x in rows]
-        pieces = pack(docs)
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            columns = [
-                [rows[d][0] for d, *_ in some],
-                [p[1] for p in some],
-                [p[2] for p in some],
-                [docs[d][s : s + n].astype("<u4").tobytes() for d, s, n, *_ in some],
-                [len(docs[p[0]]) for p in some],
-                [(shard << 32) + p[3] for p in some],
-                [p[4] for p in some],
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
-
-    for b in batches:
-        for s, *row in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-            if s != shard and rows:
-                yield from done()
-                rows = []
-            shard = s
-            rows.append(row)
-    if rows:
-        yield from done()
-
-
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _pack_shards(most):
+    """Rows (doc_id, n, ids) in order, cut into shards of ``most`` tokens."""
+
+    def run(batches):
+        rows, held, sequences = [], 0, TaskContext.get().partitionId() << 33
+
+        def done(first):
+            docs = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4") for _, n, x in rows]
+            pieces = pack(docs)
+            for at in range(0, len(pieces), 2000):
+                some = pieces[at : at + 2000]
+                columns = [
+                    [rows[d][0] for d, *_ in some],
+                    [p[1] for p in some],
+                    [p[2] for p in some],
+                    [docs[d][s : s + n].astype("<u4").tobytes() for d, s, n, *_ in some],
+                    [len(docs[p[0]]) for p in some],
+                    [first + p[3] for p in some],
+                    [p[4] for p in some],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                rows.append(row)
+                held += row[1]
+                if held >= most:
+                    yield from done(sequences)
+                    # a shard has at most as many whole sequences as tokens allow, and eleven for its last window
+                    sequences += held // WINDOW + 12
+                    rows, held = [], 0
+        if rows:
+            yield from done(sequences)
+
+    return run
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of all documents.
 
     ``ids`` holds little-endian unsigned 32-bit ids.  A document is its text's
     ids and then id 1; null is an empty text; each row is a document of its
     own, also if rows or ids repeat or ids are null.  Every sequence is 2048
-    tokens long or a power of two, so nothing is padded.  An empty table has
-    no pieces.  Other columns are not read.
+    tokens long or a power of two, so nothing is padded.  A very long text is
+    cut over sequences; its ids take 2 to 4 bytes each.  An empty table has no
+    pieces.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 4)).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_bytes))
-    # the row's place spreads repeated ids
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text")
-    tokens = dealt.mapInArrow(_tokenise(tokenizer_path), "shard int, doc_id long, n long, ids binary")
-    sharded = tokens.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n", F.xxhash64("ids"))
-    return sharded.mapInArrow(_pack_shards, PIECES)
+    tokens = materialize(rows.mapInArrow(_tokenise(tokenizer_path), "k0 long, k1 long, k2 long, doc_id long, n long, ids binary"), "tokens")
+    # the row's place comes last, so documents that are all alike go to many ranges
+    place = tokens.withColumn("place", F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    order = ["k0", "k1", "k2", "place"]
+    ranged = place.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return ranged.select("doc_id", "n", "ids").mapInArrow(_pack_shards(shard_tokens), PIECES)
