@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.sources.tables import fresh_path, materialize, remove, shared_dir
 
-__all__ = ["fold", "fresh_path", "materialize", "numbered_columns", "quoted", "remove", "shared_dir", "shuffle_partitions", "table"]
+__all__ = ["fold", "fresh_path", "give_back", "materialize", "numbered_columns", "quoted", "remove", "shared_dir", "shuffle_partitions", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,3 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def give_back() -> None:
+    """Return what earlier tasks of this worker have left to the system; workers live on, and two of them share an executor with its JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)

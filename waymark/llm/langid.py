@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.llm.common import give_back
+
 #: Hashed n-grams; languages whose counts a task holds before it sends them on.
 BUCKETS, HELD = 1 << 16, 128
 #: What every n-gram is taken to have been seen in advance.
@@ -270,6 +272,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col:
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in zip(new, (T.StringType(), T.DoubleType(), T.StringType()), strict=True))])
 
     def run(batches):
+        give_back()
         for b in batches:
             got = predict(b.column(place).to_pylist(), langs, table)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.string())], names=[*b.schema.names, *new])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import materialize, numbered_columns
+from waymark.llm.common import give_back, materialize, numbered_columns
 from waymark.llm.components import components
 
 SHINGLE = 4
@@ -259,6 +259,7 @@ def _text_words(text: str | None) -> list[bytes]:
 
 def _wide(batches):
     """Rows (rid, doc_id, text); rid, doc_id, a 128-bit digest of the words, the wide fingerprint."""
+    give_back()
     for b in batches:
         n = b.num_rows
         digests, prints = np.zeros((n, 2), "<i8"), np.zeros((n, WIDE), np.int64)
@@ -319,6 +320,7 @@ def _partners(f: np.ndarray, run: np.ndarray, side: np.ndarray, split: np.ndarra
 
 def _candidates(batches):
     """Rows (k, i, j, side, rid, f0..) in order of list and rid; pairs (a, b) of rids, a after b in its list."""
+    give_back()
     held: list[np.ndarray] = []
     size = 0
 
@@ -377,6 +379,7 @@ def _few(numbers: DataFrame) -> DataFrame:
 
 def _verify(least):
     def run(batches):
+        give_back()
         last, own = None, None
         for b in batches:
             out = ([], [])
