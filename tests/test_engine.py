@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from waymark.functions.geometry import dist, jump_range
 from waymark.functions.ranking import with_row_index
-from waymark.functions.text import overlap, parse_float
+from waymark.functions.text import overlap, parse_float, systems_query
 from waymark.operators import catalog, journal, names, route, spatial
 from waymark.plans.engine import Engine, NotLoaded, RouteState
 from waymark.sources import readers, writers
 from waymark.sources.tables import RAW_SYSTEM, materialize
-from waymark.streaming.journal import follow, stream_jumps
+from waymark.streaming.journal import Tracker, advance, persisted, stream_jumps, track
 
 
 def points(spark, coords):
@@ -93,6 +93,25 @@ def test_partitions_are_halves(spark):
     assert sorted(r["count"] for r in got) == [8] * 8
 
 
+def test_medians_are_exact_beyond_a_summary(spark):
+    rng = np.random.default_rng(1)
+    s = points(spark, np.round(rng.uniform(-1, 1, (300, 3)), 1).tolist())
+    small, large = ({r["star_id"]: r["part"] for r in spatial.spatial_partition(s, 3, exact=e).collect()} for e in (100_000, 0))
+    assert small == large
+
+
+def test_growing_boxes_find_the_nearest(spark, tmp_path):
+    p = np.float32(np.random.default_rng(4).uniform(-1, 1, (400, 3)))
+    s = points(spark, p.tolist())
+    for q in ((0.1, 0.2, 0.3), (50.0, 0.0, 0.0)):
+        assert [r["star_id"] for r in spatial.nearest(s, q, 7, start=0.05).collect()] == [r["star_id"] for r in spatial.nearest(s, q, 7).collect()]
+    writers.write_stars(s.withColumn("name", F.lit("s")), str(tmp_path / "s"), 0.2, 4)
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    assert {"cx", "cy", "cz"} <= set(stored.columns)
+    plan = spatial.ray_pick(stored, (-0.5, 0, 0), (1, 0.1, 0), 0.01)._jdf.queryExecution().executedPlan().toString()
+    assert "Or(And(And(" in plan.split("PushedFilters")[1]
+
+
 def test_box_filter_reaches_parquet(spark, tmp_path):
     writers.write_stars(points(spark, [(i, i, i) for i in range(100)]).withColumn("name", F.lit("s")), str(tmp_path / "s"), 10.0, 4)
     plan = spatial.within_radius(readers.star_table(spark, str(tmp_path / "s")), (5, 5, 5), 2)._jdf.queryExecution().executedPlan().toString()
@@ -158,6 +177,48 @@ def test_labels(spark):
     assert [r[0] for r in df.select(overlap(F.col("a"), F.col("b"))).collect()] == [2, 0, 2, 0]
 
 
+def test_palette_and_navigation(spark):
+    nodes = names.radix_nodes(name_table(spark, [*TREE, "ROMAW"]))
+    got = {r["node"]: (r["number"], r["bits"]) for r in names.encoded(nodes, 2).collect()}
+    assert got["ROW"] == got["ROMAW"] == (0, 8) and sorted(b for _, b in got.values()) == [8, 8, 8, 32, 32, 32]
+    assert [r["label"] for r in names.children(nodes, "RO").collect()] == ["M", "W"] and names.children(nodes, "ROW").count() == 0
+    assert names.parent(nodes, "ROM").first()["node"] == "RO" and names.parent(nodes, "RO").count() == 0
+    stats = names.catalog_stats(name_table(spark, TREE)).first()
+    assert (stats["nodes"], stats["labels_8"], stats["labels_16"], stats["labels_32"]) == (4, 4, 0, 0)
+
+
+def test_names_need_no_prefix_as_a_key(spark):
+    plan = names.paths(name_table(spark, TREE))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_addresses(spark):
+    df = spark.createDataFrame([(["Sol", "a b+c", "é~!*'()/?"],)], "n array<string>")
+    assert df.select(systems_query(F.col("n"))).first()[0] == "systemName[]=Sol&systemName[]=a%20b%2Bc&systemName[]=%C3%A9~!*'()%2F%3F"
+
+
+def test_row_index_keeps_columns_of_any_name(spark):
+    df = spark.range(20).select(F.col("id").alias("v"), F.col("id").alias("mid"), F.lit("x").alias("part"), F.lit("y").alias("offset"))
+    got = with_row_index(df, ["v"], "k").collect()
+    assert all((r["k"], r["mid"], r["part"], r["offset"]) == (r["v"], r["v"], "x", "y") for r in got) and len(got) == 20
+
+
+def test_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from waymark.sources import tables
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(tables.NoSharedFolder):
+        tables.shared_dir(Session)
+
+
 def test_row_index(spark):
     got = with_row_index(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")), ["v"], "k").collect()
     assert all(r["v"] == r["k"] for r in got) and len(got) == 1000
@@ -215,7 +276,9 @@ def test_star_arrays(spark, tmp_path):
     data = b"".join(struct.pack("<3f", i, i + 0.5, -i) for i in range(100))
     (tmp_path / "s.bin").write_bytes(data)
     stars = readers.star_array(spark, str(tmp_path / "s.bin"))
-    assert writers.star_bytes(stars) == data
+    assert b"".join(writers.star_bytes(stars)) == data
+    writers.write_star_array(stars, str(tmp_path / "again.bin"))
+    assert (tmp_path / "again.bin").read_bytes() == data
     flat = writers.flatten_coords(stars.withColumn("r", F.col("star_id") % 2), "r")
     assert writers.unflatten_coords(flat, "r").count() == 100
 
@@ -301,6 +364,11 @@ def test_progress(spark):
 def test_reconstruct(spark):
     links = spark.createDataFrame([(3, 2), (2, 1), (1, 0), (9, 8)], "child long, parent long")
     assert [r["node"] for r in route.reconstruct(spark, links, 3).orderBy("step").collect()] == [3, 2, 1, 0]
+    assert [tuple(r) for r in route.reconstruct(spark, links, 77).collect()] == [(77, 0)]
+    long = spark.range(500).select((F.col("id") + 1).alias("child"), F.col("id").alias("parent"))
+    assert [r["node"] for r in route.reconstruct(spark, long, 500).orderBy("step").collect()] == list(range(500, -1, -1))
+    with pytest.raises(ValueError, match="loop"):
+        route.reconstruct(spark, spark.createDataFrame([(1, 2), (2, 1)], "child long, parent long"), 1, most=8)
 
 
 # Journal
@@ -331,29 +399,111 @@ def test_latest_journal(spark, tmp_path):
     assert readers.latest_journal(spark, str(tmp_path)).first()["path"].endswith("Journal.2.log")
 
 
+class Seen:
+    """A sink that keeps rows; waits until they are what is wanted."""
+
+    def __init__(self):
+        self.rows = []
+
+    def __call__(self, batch, number):
+        self.rows += [tuple(r) for r in batch.select("system", batch.columns[-1]).collect()]
+
+    def until(self, want, tracker):
+        end = time.time() + 60
+        while time.time() < end and self.rows != want:
+            assert tracker.query.exception() is None
+            time.sleep(0.1)
+        assert self.rows == want
+
+
+def commander(jumps):
+    return jumps.withColumn("commander", F.lit("me"))
+
+
 def test_growing_journal_is_followed(spark, tmp_path):
     folder = tmp_path / "j"
     folder.mkdir()
     path = folder / "Journal.1.log"
     path.write_text("\n".join(LINES[:3]) + "\n" + LINES[4][:10])
     nodes = spark.createDataFrame([("A", 0), ("B", 1), ("C", 2)], "system string, seq int")
-    seen = []
-    jumps = stream_jumps(spark, str(folder)).withColumn("commander", F.lit("me"))
-    q = follow(jumps, nodes, lambda best, n: seen.append(best)).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    seen = Seen()
+    followed = Tracker(advance(commander(stream_jumps(spark, str(folder))), nodes), seen, str(tmp_path / "c"), 0.2).start()
+    seen.until([("A", 1)], followed)
+    with path.open("a") as f:
+        f.write(LINES[4][10:] + "\n" + LINES[5] + "\n")
+    seen.until([("A", 1), ("B", 2)], followed)
+    # stopped without clearing, it goes on where it ended and still knows how far it had come
+    followed.stop(clear=False)
+    assert not followed.tracking
+    with path.open("a") as f:
+        f.write(jump("A") + "\n" + jump("C") + "\n")
+    followed.start()
+    seen.until([("A", 1), ("B", 2), ("C", 3)], followed)
+    followed.stop()
+    assert not (tmp_path / "c").exists()
+
+
+def test_files_of_a_journal_follow_one_another(spark, tmp_path):
+    """A later file's small offsets come after an earlier file's large ones."""
+    folder = tmp_path / "j"
+    folder.mkdir()
+    (folder / "Journal.1.log").write_text("".join(jump(s) + "\n" for s in ["X"] * 30 + ["A"]))
+    (folder / "Journal.2.log").write_text("".join(jump(s) + "\n" for s in "AAB"))
+    changes = track(commander(stream_jumps(spark, str(folder)))).select("commander", "system", "offset")
+    seen = Seen()
+    tracker = Tracker(changes, seen, str(tmp_path / "c"), 0.2).start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and len(seen.rows) < 3:
+            time.sleep(0.1)
+        time.sleep(0.5)
+        assert [s for s, _ in seen.rows] == ["X", "A", "B"]
+    finally:
+        tracker.stop()
+
+
+def test_tracking_begins_with_the_last_jump(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "j"
+    folder.mkdir()
+    (folder / "Journal.1.log").write_text("".join(jump(s) + "\n" for s in "PQ"))
+    newest = folder / "Journal.0.log"  # the newest by its time, not by its name
+    newest.write_text("".join(jump(s) + "\n" for s in "AB") + '{"event":"Docked"}\n' * 3000)
+    os.utime(folder / "Journal.1.log", (100, 100))
+    assert readers.last_jump_of(spark, str(folder)).first()["StarSystem"] == "B"
+    changes = track(commander(stream_jumps(spark, str(folder), "last")), sample="last").select("system", "offset")
+    seen = Seen()
+    tracker = Tracker(changes, seen, str(tmp_path / "c"), 0.2).start()
     try:
-        def until(want):
-            end = time.time() + 60
-            while time.time() < end and (not seen or seen[-1] != want):
-                assert q.exception() is None
-                time.sleep(0.2)
-            assert seen[-1] == want
-
-        until({"me": 1})
-        with path.open("a") as f:
-            f.write(LINES[4][10:] + "\n" + LINES[5] + "\n")
-        until({"me": 2})
+        end = time.time() + 60
+        while time.time() < end and not seen.rows:
+            time.sleep(0.1)
+        with newest.open("a") as f:
+            f.write("".join(jump(s) + "\n" for s in "BCD"))
+        while time.time() < end and len(seen.rows) < 2:
+            time.sleep(0.1)
+        assert [s for s, _ in seen.rows] == ["B", "D"]
+        # stopped and cleared, the same system counts as new
+        tracker.stop()
+        tracker.start()
+        while time.time() < end and len(seen.rows) < 3:
+            time.sleep(0.1)
+        assert [s for s, _ in seen.rows] == ["B", "D", "D"]
     finally:
-        q.stop()
+        tracker.stop()
+
+
+def test_progress_is_kept_by_batch(spark, tmp_path):
+    sink = persisted(str(tmp_path / "p"))
+    rows = spark.createDataFrame([("me", "A", 1)], "commander string, system string, progress long")
+    sink(rows, 0)
+    sink(rows, 0)
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 1
+    writers.store(rows, str(tmp_path / "v"))
+    writers.clear(spark, str(tmp_path / "v"))
+    writers.clear(spark, str(tmp_path / "v"))
+    assert not (tmp_path / "v").exists()
 
 
 # Imports
@@ -403,6 +553,9 @@ def test_engine(spark, tmp_path):
     e.set_stars(e.with_ids(spark.createDataFrame([(n, float(x), 0.0, 0.0) for n, x in named], "name string, x float, y float, z float")))
     e.save(str(tmp_path / "stars"))
     e = Engine(spark).load(str(tmp_path / "stars"))
+    plan = names.suggest_prefix(e.index(), "So", 9)._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(fold,so)" in plan
+    assert e.get_name(e.get_star_id("Sol")) == "Sol" and e.get_star_id("sol") is None and e.get_name(99) is None
     assert e.get_star_from_coords(0.01, 0, 0) == "Sol" and e.get_coords_for_star("Sol") == {"x": 0, "y": 0, "z": 0} and e.get_coords_for_star("sol") is None
     assert e.autocomplete("s") == [] and e.autocomplete("so") == ["Sol"]
     assert [n["name"] for n in e.route_by_name("Sol", "Barnard's Star")] == ["Sol", "Alpha Centauri", "Barnard's Star"]
@@ -416,6 +569,20 @@ def test_engine(spark, tmp_path):
         e.route_by_name(" ", "Sol")
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from waymark.__main__ import main
+
+    systems = [{"name": n, "coords": {"x": 1000.0 * i, "y": 0.0, "z": 0.0}, "bodies": []} for i, n in enumerate(["Sol", "Solati", "Colonia"])]
+    (tmp_path / "dump.json").write_text("[\n" + ",\n".join(map(json.dumps, systems)) + "\n]\n")
+    main(["parse", str(tmp_path / "dump.json"), str(tmp_path / "kept")], spark)
+    main(["build", str(tmp_path / "kept"), str(tmp_path / "catalog"), "--array", str(tmp_path / "stars.bin")], spark)
+    assert len((tmp_path / "stars.bin").read_bytes()) == 36
+    capsys.readouterr()
+    main(["analyze", str(tmp_path / "catalog"), "sol", "Sol"], spark)
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert lines[0] == {"query": "sol", "found": False, "suggestions": ["Sol", "Solati"]} and lines[1]["found"] and lines[2]["names"] == 3
+
+
 # Every query
 
 

@@ -27,3 +27,17 @@ def overlap(a: Column, b: Column) -> Column:
     n = F.least(F.length(a), F.length(b))
     fits = F.filter(F.sequence(F.lit(0), n), lambda k: F.right(a, k) == F.left(b, k))
     return F.array_max(fits)
+
+
+def uri_encode(c: Column) -> Column:
+    """Percent-encoding of a part of an address: a space is ``%20``, letters, digits and -_.!~*'() stay."""
+    out = F.url_encode(c)
+    # what the form encoding does otherwise
+    for theirs, ours in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(theirs), F.lit(ours))
+    return out
+
+
+def systems_query(names: Column) -> Column:
+    """The query string that asks for several systems by name."""
+    return F.array_join(F.transform(names, lambda n: F.concat(F.lit("systemName[]="), uri_encode(n))), "&")

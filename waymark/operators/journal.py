@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geometry import to_scene
+from waymark.functions.ranking import unused
 
 
 def locations(jumps: DataFrame) -> DataFrame:
@@ -17,7 +18,8 @@ def locations(jumps: DataFrame) -> DataFrame:
 def changes(events: DataFrame, by: list[str], order: list[str], system: str) -> DataFrame:
     """Events whose system differs from that of the event before (of the same key)."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return events.withColumn("_p", F.lag(system).over(w)).where(~F.col(system).eqNullSafe(F.col("_p"))).drop("_p")
+    before = unused("before", events.columns)
+    return events.withColumn(before, F.lag(system).over(w)).where(~F.col(system).eqNullSafe(F.col(before))).drop(before)
 
 
 def last_jump(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -40,9 +42,9 @@ def lookup(wanted: DataFrame, local: DataFrame, external: DataFrame) -> DataFram
 
 
 def resolve_import(rows: DataFrame, by_name: DataFrame, by_id: DataFrame, strict: bool = False) -> DataFrame:
-    """Imported rows with coordinates by name, else by id64; ``strict`` fails on a row that has neither."""
-    n = by_name.select("name", F.struct("x", "y", "z").alias("n"))
-    i = by_id.select("id64", F.struct("x", "y", "z").alias("i"))
+    """Imported rows with coordinates by name, else by id64; ``strict`` fails on a row that has neither.  Of rows that share a name or an id the one with the least coordinates holds."""
+    n = by_name.groupBy("name").agg(F.min(F.struct("x", "y", "z")).alias("n"))
+    i = by_id.groupBy("id64").agg(F.min(F.struct("x", "y", "z")).alias("i"))
     c = F.coalesce("n", "i")
     out = rows.join(n, "name", "left").join(i, "id64", "left").select(*rows.columns, *[c[a].alias(a) for a in "xyz"])
     if strict:

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geometry import AXES, cell, dist_sq, f32, in_box
+from waymark.functions.ranking import with_row_index
 from waymark.sources.tables import materialize
 
 #: Rows of a probe side up to which it is broadcast.
 BROADCAST_ROWS = 100_000
-#: A ray ends here.
-RAY_LENGTH = 240.0
+#: A ray ends here; boxes that its cone is covered by, each twice as long as the one before.
+RAY_LENGTH, RAY_BOXES = 240.0, 16
+#: Times a box grows fourfold before the whole table is read.
+GROWS = 4
+#: Rows of a part up to which a summary gives the exact median.
+EXACT = 100_000
 
 
 def within_radius(stars: DataFrame, p: tuple, r: float) -> DataFrame:
@@ -21,9 +26,23 @@ def within_radius(stars: DataFrame, p: tuple, r: float) -> DataFrame:
     return stars.where(in_box(p, r)).withColumn("d2", dist_sq("", p)).where(F.col("d2") <= f32(r) * f32(r))
 
 
-def nearest(stars: DataFrame, p: tuple, k: int = 1) -> DataFrame:
-    """The k nearest to a point; ties go to the smaller id.  Each task keeps k rows, no shuffle of the table."""
-    return stars.withColumn("d2", dist_sq("", p)).orderBy("d2", "star_id").limit(k)
+def nearest(stars: DataFrame, p: tuple, k: int = 1, start: float | None = None) -> DataFrame:
+    """The k nearest to a point; ties go to the smaller id.
+
+    Without ``start`` each task keeps k rows of its part of the table, no
+    shuffle of it.  With ``start`` (the side of a stored table's cells) a box
+    around the point grows until its ball holds k stars, so only files and row
+    groups near the point are read; in empty space the whole table is.
+    """
+    measured = stars.withColumn("d2", dist_sq("", p))
+    if start:
+        r = start
+        for _ in range(GROWS):
+            ball = measured.where(in_box(p, r)).where(F.col("d2") <= f32(r) * f32(r))
+            if ball.limit(k).count() == k:
+                return ball.orderBy("d2", "star_id").limit(k)
+            r *= 4
+    return measured.orderBy("d2", "star_id").limit(k)
 
 
 def range_join(left: DataFrame, right: DataFrame, r: float, *, small_left: bool | None = None) -> DataFrame:
@@ -84,8 +103,23 @@ def bbox(stars: DataFrame) -> DataFrame:
     return a.withColumn("widest", F.when(wide[2] == top, "z").when(wide[1] == top, "y").otherwise("x"))
 
 
-def on_ray(stars: DataFrame, origin: tuple, direction: tuple, tolerance: float) -> DataFrame | None:
-    """Points in the cone around a ray, with t (along it) and ang2 (squared tangent); None if the ray has no direction."""
+def along_ray(origin: tuple, direction: tuple, tolerance: float, threshold: float = 0.0) -> Column:
+    """Boxes that cover the cone (or, with ``threshold``, the tube) around a ray of unit direction: plain comparisons, which reach Parquet's statistics."""
+    lo, inside = 0.0, F.lit(False)
+    for i in range(RAY_BOXES):
+        hi = RAY_LENGTH / 2 ** (RAY_BOXES - 1 - i)
+        wide = (threshold or tolerance * hi) * 1.000001 + 1e-6
+        box = F.lit(True)
+        for c, o, d in zip(AXES, origin, direction, strict=True):
+            ends = (o + lo * d, o + hi * d)
+            pad = wide + 1e-6 * max(map(abs, ends))
+            box = box & F.col(c).between(F.lit(min(ends) - pad), F.lit(max(ends) + pad))
+        inside, lo = inside | box, hi
+    return inside
+
+
+def on_ray(stars: DataFrame, origin: tuple, direction: tuple, tolerance: float, threshold: float = 0.0) -> DataFrame | None:
+    """Points in the cone around a ray (with ``threshold``, at most so far from it), with t (along it) and ang2 (squared tangent); None if the ray has no direction."""
     size = math.sqrt(sum(d * d for d in direction))
     if size < 1e-10:
         return None
@@ -94,7 +128,10 @@ def on_ray(stars: DataFrame, origin: tuple, direction: tuple, tolerance: float)
     t = sum((u * F.lit(v) for u, v in zip(rel[1:], d[1:], strict=True)), rel[0] * F.lit(d[0]))
     off = [u - t * F.lit(v) for u, v in zip(rel, d, strict=True)]
     perp = off[0] * off[0] + off[1] * off[1] + off[2] * off[2]
-    return stars.withColumn("t", t).withColumn("ang2", perp / (F.col("t") * F.col("t"))).where((F.col("t") > 0) & (F.col("t") <= RAY_LENGTH) & (F.col("ang2") <= tolerance * tolerance))
+    near = stars.where(along_ray(origin, d, tolerance, threshold))
+    hit = near.withColumn("t", t).withColumn("ang2", perp / (F.col("t") * F.col("t"))).where((F.col("t") > 0) & (F.col("t") <= RAY_LENGTH))
+    within = F.col("ang2") * F.col("t") * F.col("t") <= threshold * threshold if threshold else F.col("ang2") <= tolerance * tolerance
+    return hit.where(within)
 
 
 def ray_pick(stars: DataFrame, origin: tuple, direction: tuple, tolerance: float) -> DataFrame:
@@ -107,24 +144,34 @@ def ray_pick(stars: DataFrame, origin: tuple, direction: tuple, tolerance: float
 
 def route_pick(nodes: DataFrame, origin: tuple, direction: tuple, threshold: float) -> DataFrame:
     """The first node along the ray that is at most ``threshold`` from it."""
-    hit = on_ray(nodes, origin, direction, 1e9)
+    hit = on_ray(nodes, origin, direction, 0.0, threshold)
     if hit is None:
         return nodes.limit(0).withColumns({"t": F.lit(0.0), "ang2": F.lit(0.0)})
-    return hit.where(F.col("ang2") * F.col("t") * F.col("t") <= threshold * threshold).orderBy("t", "star_id").limit(1)
+    return hit.orderBy("t", "star_id").limit(1)
+
+
+def _medians(parts: DataFrame) -> DataFrame:
+    """(part, median) of (part, value), the lower of two middle values, by places in a sort over ranges."""
+    placed = with_row_index(parts.withColumn("own", F.monotonically_increasing_id()), ["part", "value", "own"], "place")
+    middle = placed.groupBy("part").agg((F.min("place") + F.floor((F.count("*") - 1) / 2)).alias("place"))
+    return placed.join(F.broadcast(middle.select("place")), "place", "left_semi").select("part", F.col("value").alias("median"))
 
 
-def spatial_partition(stars: DataFrame, depth: int) -> DataFrame:
+def spatial_partition(stars: DataFrame, depth: int, exact: int = EXACT) -> DataFrame:
     """``stars`` with ``part``: halves of halves at the median of the widest axis, 2^depth parts.
 
     A level is one aggregation by part (2^level rows) and a join with its
-    result; the median is a summary, exact up to its accuracy.
+    result.  Medians are exact: parts of at most ``exact`` rows have them from
+    a summary, larger ones from their places in a sort.
     """
     out = stars.withColumn("part", F.lit(0))
     for _ in range(depth):
-        by = out.groupBy("part").agg(*[(F.max(c) - F.min(c)).alias(f"w{c}") for c in AXES], *[F.percentile_approx(c, 0.5, 100_000).alias(f"m{c}") for c in AXES])
+        by = out.groupBy("part").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"w{c}") for c in AXES], *[F.percentile_approx(c, 0.5, 100_000).alias(f"m{c}") for c in AXES])
         wide = F.greatest(*[F.col(f"w{c}") for c in AXES])
         axis = F.when(F.col("wz") == wide, "z").when(F.col("wy") == wide, "y").otherwise("x")
-        by = by.select("part", axis.alias("axis"), F.when(axis == "z", F.col("mz")).when(axis == "y", F.col("my")).otherwise(F.col("mx")).alias("median"))
+        by = materialize(by.select("part", "n", axis.alias("axis"), F.when(axis == "z", F.col("mz")).when(axis == "y", F.col("my")).otherwise(F.col("mx")).alias("median")), "medians")
         value = F.when(F.col("axis") == "z", F.col("z")).when(F.col("axis") == "y", F.col("y")).otherwise(F.col("x"))
-        out = out.join(F.broadcast(by), "part").withColumn("part", F.col("part") * 2 + (value > F.col("median")).cast("int")).drop("axis", "median")
+        if (by.agg(F.max("n")).first()[0] or 0) > exact:
+            by = by.drop("median").join(materialize(_medians(out.join(F.broadcast(by), "part").select("part", value.alias("value"))), "medians"), "part")
+        out = out.join(F.broadcast(by), "part").withColumn("part", F.col("part") * 2 + (value > F.col("median")).cast("int")).drop("axis", "median", "n")
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -14,7 +16,9 @@ def ship(spark: SparkSession) -> None:
     sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
     if getattr(sc, "_waymark_shipped", False) or not root.is_dir():
         return
-    path = Path(tempfile.mkdtemp(prefix="waymark-")) / "waymark_package.zip"
+    folder = tempfile.mkdtemp(prefix="waymark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "waymark_package.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))

@@ -15,6 +15,7 @@ from waymark.functions.ranking import with_row_index
 from waymark.operators import catalog, journal, names, route, spatial
 from waymark.plans.engine import Engine
 from waymark.sources import readers, writers
+from waymark.sources.tables import fresh_path, materialize
 
 P, R, SMALL = (0.05, -0.1, 0.1), 0.15, 0.10
 RAY, TOLERANCE = ((-0.5, 0.02, 0.01), (1.0, 0.05, -0.02)), 0.4
@@ -209,7 +210,8 @@ def id_to_name(spark, d):
 
 @_query(f"SELECT name, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM {_S} WHERE name = 'Star 42'")
 def name_to_coords(spark, d):
-    return _double(stars(spark, d).where(F.col("name") == "Star 42").select("name", "x", "y", "z"), "x", "y", "z")
+    found = Engine(spark).set_stars(stars(spark, d)).get_coords_for_star("Star 42")
+    return spark.createDataFrame([("Star 42", *map(float, found.values()))] if found else [], "name string, x double, y double, z double")
 
 
 @_query(f"SELECT name, CAST(row_number() OVER (ORDER BY lower(name), name) AS INTEGER) AS rank FROM (SELECT DISTINCT name FROM {_NAMES} WHERE starts_with(lower(name), 'customer#0000001')) ORDER BY rank LIMIT 10")
@@ -250,11 +252,31 @@ def label_substrings(spark, d):
     return names.contained_labels(all_names(spark, d))
 
 
-@_query(f"WITH {_RADIX} SELECT count(*) AS nodes, count(*) FILTER (is_terminal) AS names, CAST(sum(length(label)) AS BIGINT) AS label_bytes, CAST(max(depth) AS INTEGER) AS deepest, (SELECT count(DISTINCT label) FROM tree) AS labels, (SELECT CAST(sum(length(label)) AS BIGINT) FROM (SELECT DISTINCT label FROM tree)) AS distinct_bytes, (SELECT max(n) FROM (SELECT count(*) AS n FROM tree GROUP BY label)) AS most_used FROM tree")
+@_query(f"""WITH {_RADIX} SELECT *, CAST(ceil((2 * nodes + 3) / 64.0) * 8 + 3 * ceil((nodes + 1) / 64.0) * 8 + labels_8 + 2 * labels_16 + 4 * labels_32 + 4 * least(labels, 65536) + distinct_bytes AS BIGINT) AS size FROM (SELECT count(*) AS nodes, count(*) FILTER (is_terminal) AS names, CAST(sum(length(label)) AS BIGINT) AS label_bytes, CAST(max(depth) AS INTEGER) AS deepest, (SELECT count(DISTINCT label) FROM tree) AS labels, (SELECT CAST(sum(length(label)) AS BIGINT) FROM (SELECT DISTINCT label FROM tree)) AS distinct_bytes, (SELECT max(n) FROM (SELECT count(*) AS n FROM tree GROUP BY label)) AS most_used,
+ count(*) FILTER (number < 256) AS labels_8, count(*) FILTER (number BETWEEN 256 AND 65535) AS labels_16, count(*) FILTER (number > 65535) AS labels_32
+ FROM tree JOIN (SELECT label, row_number() OVER (ORDER BY n DESC, label) - 1 AS number FROM (SELECT label, count(*) AS n FROM tree GROUP BY label)) USING (label))""")
 def catalog_stats(spark, d):
     return names.catalog_stats(all_names(spark, d))
 
 
+@_query(f"WITH {_RADIX}, pal AS (SELECT label, row_number() OVER (ORDER BY n DESC, label) - 1 AS number FROM (SELECT label, count(*) AS n FROM tree GROUP BY label)) SELECT node, label, CASE WHEN number < 300 THEN CAST(number AS INTEGER) END AS number, CAST(CASE WHEN number < 256 THEN 8 WHEN number < 300 THEN 16 ELSE 32 END AS INTEGER) AS bits FROM tree JOIN pal USING (label)")
+def label_palette(spark, d):
+    return names.encoded(names.radix_nodes(all_names(spark, d)), 300).select("node", "label", "number", "bits")
+
+
+@_query(f"WITH {_RADIX} SELECT node, label FROM tree WHERE parent = (SELECT node FROM tree WHERE parent = '' ORDER BY label LIMIT 1)")
+def node_children(spark, d):
+    nodes = materialize(names.radix_nodes(all_names(spark, d)), "nodes")
+    top = names.children(nodes, "").first()
+    return names.children(nodes, top["node"]).select("node", "label")
+
+
+@_query("SELECT n_nationkey, 'systemName[]=' || replace(n_name, ' ', '%20') || '&systemName[]=' || replace(n_name, ' ', '%20') || '%20%2B%26%3D(%C3%A9)' AS query FROM nation")
+def url_queries(spark, d):
+    asked = F.array("n_name", F.concat("n_name", F.lit(" +&=(é)")))
+    return _t(spark, d, "nation").select("n_nationkey", text.systems_query(asked).alias("query"))
+
+
 # catalog build
 
 
@@ -273,6 +295,33 @@ def etl_catalog(spark, d):
     return _double(catalog.build(raw_systems(spark, d)), "x", "y", "z")
 
 
+@_query(f"WITH {_RAW} SELECT line_no + 0 AS line_no, name, refuelable, nearby_neutron FROM (SELECT row_number() OVER (ORDER BY line_no) AS line_no, name, refuelable, nearby_neutron FROM folded)")
+def dump_scan(spark, d):
+    """Raw systems written as a dump and read back: fields, bodies, and lines by their place."""
+    raw = raw_systems(spark, d)
+    path = fresh_path(spark, "dump")
+    lines = raw.select("line_no", F.concat(F.to_json(F.struct("name", "coords", "bodies")), F.lit(",")).alias("value"))
+    ends = spark.createDataFrame([(-1, "["), (1 << 62, "]"), ((1 << 62) + 1, "behind the end")], "line_no long, value string")
+    lines.unionByName(ends).orderBy("line_no").coalesce(1).select("value").write.text(path)
+    back = readers.dump_systems(readers.numbered_lines(spark, path))
+    return catalog.fold_bodies(back).select("line_no", "name", "refuelable", "nearby_neutron")
+
+
+@_query(f"SELECT row_number() OVER (ORDER BY star_id) - 1 AS star_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM {_S}")
+def star_array(spark, d):
+    """Stars written as one flat array and read back by their places."""
+    path = fresh_path(spark, "stars") + ".bin"
+    writers.write_star_array(stars(spark, d), path)
+    return _double(readers.star_array(spark, path), "x", "y", "z")
+
+
+@_query(f"SELECT label, star_id AS seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS star_id, embedding[1] AS x, embedding[2] AS y, embedding[3] AS z FROM embeddings)")
+def unflat_arrays(spark, d):
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("star_id"), "label")
+    back = writers.unflatten_coords(writers.flatten_coords(stars(spark, d).join(e, "star_id"), "label"), "label")
+    return _double(back.withColumn("seq", F.col("seq").cast("long")), "x", "y", "z")
+
+
 @_query("SELECT p_name AS name, min(p_partkey) AS p_partkey, arg_min(p_brand, p_partkey) AS p_brand FROM part GROUP BY p_name")
 def dedup_first(spark, d):
     return catalog.first_by_name(_t(spark, d, "part").select(F.col("p_name").alias("name"), "p_partkey", "p_brand"), "p_partkey")
@@ -291,7 +340,8 @@ def frontier_anti(spark, d):
     s = stars(spark, d).select("star_id", "x", "y", "z")
     seen = spatial.within_radius(s, P, R).drop("d2")
     pairs = spatial.range_join(seen, s, SMALL)
-    return pairs.select(F.col("r_star_id").alias("star_id")).distinct().join(seen.select("star_id"), "star_id", "left_anti")
+    found = pairs.select(F.col("r_star_id").alias("star_id"), *[F.col(f"r_{c}").alias(c) for c in "xyz"], F.col("l_star_id").alias("parent"), F.col("l_star_id").alias("parent_rank"))
+    return route.unseen(found, seen).select("star_id")
 
 
 @_query(f"SELECT star_id, CAST(CAST(sqrt({_d2('', (0.2, 0.2, 0.2))}) AS FLOAT) AS DOUBLE) AS to_end FROM {_S} ORDER BY to_end, star_id LIMIT (SELECT least(64, count(*) - 1) FROM {_S})")
@@ -317,6 +367,23 @@ def _ends(s: DataFrame) -> tuple[tuple, tuple]:
     return tuple(tuple(r[c] for c in "xyz") for r in (a, b))
 
 
+@_query(f"SELECT star_id, CAST(to_end AS DOUBLE) AS to_end, CAST(min(to_end) OVER (ORDER BY star_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS closest FROM (SELECT star_id, CAST(sqrt({_d2('', (0.2, 0.2, 0.2))}) AS FLOAT) AS to_end FROM {_S} WHERE {_d2('', P)} <= {_r2(R)})")
+def closest_so_far(spark, d):
+    ball = spatial.within_radius(stars(spark, d), P, R).select("star_id", geometry.dist("", (0.2, 0.2, 0.2)).alias("to_end"))
+    return _double(route.closest_so_far(ball, ["star_id"]), "to_end", "closest")
+
+
+@_query(f"WITH RECURSIVE s AS (SELECT * FROM {_S}), e AS (SELECT a.star_id AS a, b.star_id AS b FROM s a JOIN s b ON a.star_id <> b.star_id AND {_d2('a.', 'b.')} <= {_r2(SMALL)}), r(star_id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.b, depth + 1 FROM r JOIN e ON e.a = r.star_id WHERE depth < 20), t AS (SELECT star_id AS goal FROM s ORDER BY {_d2('', (0.25, 0.1, 0.1))}, star_id LIMIT 1) SELECT coalesce((SELECT min(depth) FROM r JOIN t ON star_id = goal), -1) AS jumps")
+def route_jumps(spark, d):
+    """Jumps of a route whose beam holds every star, so that it is a shortest one; -1 if there is none."""
+    s = stars(spark, d)
+    try:
+        jumps = len(route.find_route(s, *_ends(s), reach=SMALL, width=1 << 30, drop_worst=False, max_depth=20)) - 1
+    except route.RouteNotFound:
+        jumps = -1
+    return spark.createDataFrame([(jumps,)], "jumps int")
+
+
 @_query()
 def route_search(spark, d):
     s = stars(spark, d)
@@ -352,11 +419,7 @@ def route_hops(spark, d):
 
 @_query(f"SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY seq) AS INTEGER) AS row, 'Star ' || seq AS name, round(CAST(coalesce(hop, 0) AS DOUBLE) * 1000, 2) AS light_years, row_number() OVER (PARTITION BY label ORDER BY seq) <= 3 AS visited FROM {_HOPS}")
 def route_list(spark, d):
-    from pyspark.sql import Window
-
-    row = F.row_number().over(Window.partitionBy("label").orderBy("seq"))
-    rows = route.hops(_routes(spark, d), "label").withColumn("row", row)
-    return rows.select("label", "row", "name", F.round(F.coalesce(F.col("hop"), F.lit(0.0)).cast("double") * 1000, 2).alias("light_years"), (F.col("row") <= 3).alias("visited"))
+    return route.display(_routes(spark, d), "label", 3)
 
 
 @_query(f"SELECT star_id, name, round(t, 9) AS t FROM {_ray_sql(_S)} WHERE ang2 * t * t <= CAST(0.1 AS DOUBLE) * 0.1 ORDER BY t, star_id LIMIT 1")
@@ -374,10 +437,36 @@ def route_progress(spark, d):
 # journal and imports
 
 
-@_query("SELECT event_id, event_type AS system, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'error'")
+def _journal(spark, d) -> DataFrame:
+    """Events as lines of a journal file, written to the shared folder and read by their places in it."""
+    kind = F.when(F.col("event_type") == "error", "Docked").otherwise("FSDJump")
+    k = F.from_json("props", "k long")["k"].cast("double")
+    line = F.to_json(F.struct(F.col("ts").cast("string").alias("timestamp"), kind.alias("event"), F.col("event_type").alias("StarSystem"), F.col("event_id").cast("long").alias("SystemAddress"), F.array(k * 1000, k * 2000, k * -3000).alias("StarPos")))
+    path = fresh_path(spark, "journal")
+    _t(spark, d, "events").orderBy("event_id").coalesce(1).select(line.alias("value")).write.text(f"{path}/Journal.1")
+    return readers.numbered_lines(spark, f"{path}/Journal.1")
+
+
+@_query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS line_no, event_type AS system, -CAST(json_extract(props, '$.k') AS DOUBLE) AS x, 2 * CAST(json_extract(props, '$.k') AS DOUBLE) AS y, -3 * CAST(json_extract(props, '$.k') AS DOUBLE) AS z FROM events QUALIFY event_type <> 'error'")
 def journal_jumps(spark, d):
-    e = _t(spark, d, "events")
-    return e.where("event_type <> 'error'").select("event_id", F.col("event_type").alias("system"), F.from_json("props", "k long")["k"].alias("k"))
+    jumps = journal.locations(readers.journal_jumps(_journal(spark, d)))
+    return jumps.select(F.col("SystemAddress").alias("event_id"), "line_no", F.col("StarSystem").alias("system"), "x", "y", "z")
+
+
+@_query("SELECT event_id, event_type AS system FROM events WHERE event_type <> 'error' ORDER BY event_id DESC LIMIT 1")
+def journal_bootstrap(spark, d):
+    path = fresh_path(spark, "journals")
+    lines = _journal(spark, d).orderBy("line_no").coalesce(1).select("value")
+    lines.limit(50).write.text(f"{path}/old")
+    lines.write.text(f"{path}/new")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for number, name in enumerate(("old", "new")):
+        part = next(f.getPath() for f in system.listStatus(hadoop.Path(f"{path}/{name}")) if f.getPath().getName().startswith("part-"))
+        system.rename(part, hadoop.Path(f"{path}/Journal.{number}.log"))
+        system.setTimes(hadoop.Path(f"{path}/Journal.{number}.log"), 1_000_000 * (number + 1), -1)
+    last = readers.last_jump_of(spark, path)
+    return last.select(F.col("SystemAddress").alias("event_id"), F.col("StarSystem").alias("system"))
 
 
 @_query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE event_type IS DISTINCT FROM p")
@@ -428,7 +517,7 @@ def route_validate(spark, d):
     return out.select("o_orderkey", F.col("s").isNotNull().alias("valid"), F.col("s.progress").alias("progress"))
 
 
-@_query()
+@_query("SELECT n_nationkey, 0 AS seq, n_name AS name, n_nationkey AS id64, CAST(1 AS DOUBLE) AS distance, true AS refuel, false AS is_neutron FROM nation")
 def html_table_rows(spark, d):
     head = "<table><thead><tr><td>Refuel?</td><td>System Name</td><td>Distance (LY)</td><td>Neutron</td></tr></thead><tbody>"
     row = F.concat(F.lit("<tr><td>Yes</td><td><a href='/system/"), F.col("n_nationkey").cast("string"), F.lit("'> "), F.col("n_name"), F.lit(" </a></td><td>1,234.5</td><td>No</td></tr>"))

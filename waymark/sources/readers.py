@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import struct
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,18 +16,29 @@ from waymark.sources.tables import JUMP, RAW_SYSTEM, STARS, STORED_ROUTE
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text file; the file's own order, over as many tasks as it has splits."""
-    # DataFrames promise no line numbers; zipWithIndex counts lines per split and adds the splits before
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda p: (p[1], p[0][0]))
-    return spark.createDataFrame(rows, "line_no long, value string")
+    """(line_no, value) of a text file; the file's own order, over as many tasks as it has splits.
+
+    A line's number is its place in its split and the lines of the splits
+    before, one number a split; files of a folder follow one another by path.
+    """
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    rows = spark.read.text(path).select("value", *split, F.monotonically_increasing_id().alias("mid"))
+    counts = sorted(rows.groupBy("file", "start").agg(F.min("mid").alias("least"), F.count("*").alias("n")).collect(), key=lambda r: (r["file"], r["start"]))  # a row for each split
+    offsets, total = [], 0
+    for r in counts:
+        offsets.append((r["file"], r["start"], total - r["least"]))
+        total += r["n"]
+    table = spark.createDataFrame(offsets, "file string, start long, shift long")
+    return rows.join(F.broadcast(table), ["file", "start"]).select((F.col("mid") + F.col("shift")).alias("line_no"), "value")
 
 
 def dump_systems(lines: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     """Systems of a dump, one JSON object a line between ``[`` and ``]``: the first line and everything from a line ending in ``]`` on is left out, one trailing comma is cut."""
     end = lines.where((F.col("line_no") > 0) & F.col("value").endswith("]")).agg(F.min("line_no").alias("end"))
-    body = lines.where("line_no > 0").join(F.broadcast(end)).where("end is null or line_no < end")
-    text = F.regexp_replace("value", ",$", "")
-    return body.select("line_no", F.from_json(text, RAW_SYSTEM, {"mode": mode}).alias("s")).select("line_no", "s.*")
+    inside = F.expr("line_no > 0 and (end is null or line_no < end)")
+    # a filter on a field may be moved before this one, so the lines outside are null to the parser, too
+    text = F.when(inside, F.regexp_replace("value", ",$", ""))
+    return lines.join(F.broadcast(end)).where(inside).select("line_no", F.from_json(text, RAW_SYSTEM, {"mode": mode}).alias("s")).select("line_no", "s.*")
 
 
 def scan_line(value: Column) -> Column:
@@ -37,16 +49,30 @@ def scan_line(value: Column) -> Column:
     return F.when(value.rlike(r'"coords":\{'), F.struct(F.regexp_extract(value, r'"name":"([^"]*)"', 1).alias("name"), *fields))
 
 
+def _triples(batches):
+    for b in batches:
+        for content in b.column(0).to_pylist():
+            xyz = np.frombuffer(content, "<f4", len(content) // 12 * 3).reshape(-1, 3)
+            for lo in range(0, len(xyz), 100_000):
+                part = xyz[lo : lo + 100_000]
+                columns = [pa.array(np.arange(lo, lo + len(part)), pa.int64()), *(pa.array(np.ascontiguousarray(part[:, c]), pa.float32()) for c in range(3))]
+                yield pa.RecordBatch.from_arrays(columns, names=["star_id", "x", "y", "z"])
+
+
 def star_array(spark: SparkSession, path: str) -> DataFrame:
-    """(star_id, x, y, z) of a file of little-endian single-precision triples."""
-    rows = spark.sparkContext.binaryRecords(path, 12).zipWithIndex().map(lambda p: (p[1], *struct.unpack("<3f", bytes(p[0]))))
-    return spark.createDataFrame(rows, "star_id long, x float, y float, z float")
+    """(star_id, x, y, z) of a file of little-endian single-precision triples, 2 GB at most; a rest of fewer than 12 bytes is dropped."""
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_triples, "star_id long, x float, y float, z float")
 
 
 def star_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STARS).parquet(path)
 
 
+def names_index(spark: SparkSession, path: str) -> DataFrame:
+    """The stored index of names (name, ends, radix_depth, fold, star_id, and what was stored beside)."""
+    return spark.read.parquet(path)
+
+
 def name_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("name")).where("name <> ''")
 
@@ -56,6 +82,14 @@ def journal_jumps(lines: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     return lines.where("value <> ''").select("line_no", F.from_json("value", JUMP, {"mode": mode}).alias("e")).select("line_no", "e.*").where("event = 'FSDJump'")
 
 
+def last_jump_of(spark: SparkSession, folder: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """The last jump of the journal file changed last: one row, none without a jump."""
+    newest = latest_journal(spark, folder).first()
+    if not newest or not newest["path"]:
+        return journal_jumps(spark.createDataFrame([], "line_no long, value string"), mode)
+    return journal_jumps(numbered_lines(spark, newest["path"]), mode).orderBy(F.desc("line_no")).limit(1)
+
+
 def latest_journal(spark: SparkSession, folder: str) -> DataFrame:
     """(path): the journal file changed last; ties go to the last path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "Journal.*").load(folder)
