@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from waymark.llm import components, decontaminate, langid, licenses, mixing, packing, simhash
 from tests.llm.helpers import crc, docs, rows
 
-CLASH = ("rid", "fp", "row", "h", "k", "shard", "kind", "score", "lang_pred", "root", "_own", "item", "win")
+CLASH = ("rid", "fp", "row", "h", "k", "shard", "kind", "score", "lang_pred", "root", "_own", "_stay", "item", "win", "c0", "digest", "spans", "none", "f0", "stem", "a.b")
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
 ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, "a b c d e f g h i j k"), (6, LONG), (6, LONG), (None, "no id here at all"), (8, "ünïcode ÉTÉ 漢字 12"), (9, "!!! ??? 123")]
 
@@ -87,11 +87,14 @@ def test_near_duplicates_match_brute_force(spark):
     assert {i: r["component_id"] for i, r in got.items()} == slow_components(prints)
 
 
-def test_long_posting_lists_are_dealt_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("width", "block", "blocks"), [(2, 16, 64), (2, 16, 1), (3, 16, 1), (3, 2048, 64), (4, 2048, 64), (4, 16, 1)])
+def test_links_match_brute_force_at_every_width(spark, monkeypatch, width, block, blocks):
+    """Also where long lists are dealt in blocks, and where they are posted anew under one position more."""
     rng = np.random.default_rng(5)
-    fps = sorted({int(x) for x in rng.integers(0, 1 << 20, 300)})  # six bytes in common
-    monkeypatch.setattr(simhash, "BLOCK", 16)
-    found = components.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")))
+    fps = sorted({int(x) for x in rng.integers(0, 1 << 20, 200)} | {int(x) ^ (1 << int(rng.integers(0, 63))) for x in rng.integers(0, 1 << 62, 60) for _ in range(3)})  # six bytes in common; a few bits apart
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCKS", blocks)
+    found = components.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), width))
     got = dict(rows(found))
     want = slow_components({f: f for f in fps})
     assert {f: got.get(f, f) for f in fps} == want
@@ -104,6 +107,80 @@ def test_components_of_a_path_and_a_star(spark):
     assert rows(components.components(spark.createDataFrame([], "a long, b long"))) == []
 
 
+def slow_sets(t):
+    ws = split(t)
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def slow_groups(some):
+    """{place: place of the row that stays}: rows (id, text, ...) linked by a similarity of 0.8."""
+    sets = [slow_sets(r[1]) for r in some]
+    order = sorted(range(len(some)), key=lambda i: (some[i][0] is None, some[i][0] or 0, i))
+    out = {}
+    for i in order:
+        if i in out:
+            continue
+        todo, group = [i], {i}
+        while todo:
+            a = todo.pop()
+            for b in range(len(some)):
+                both = len(sets[a] & sets[b])
+                if b not in group and (sets[a] == sets[b] or both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)):
+                    group.add(b)
+                    todo.append(b)
+        for g in group:
+            out[g] = i
+    return out
+
+
+def stays(some):
+    groups = slow_groups(some)
+    return sorted((some[i] for i, g in groups.items() if i == g), key=str)
+
+
+def test_deduplication_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    some = near_rows()
+    for g in range(40):
+        base = [f"v{x}" for x in rng.integers(0, 3000, int(rng.integers(3, 200)))]
+        some.append((2000 + 10 * g, " ".join(base)))
+        some.append((2005 + 10 * g, "  ".join(base).upper()))
+        some.append((2001 + 10 * g, " ".join([*base[: len(base) * 19 // 20], "other"])))
+    some += [(None, some[-1][1]), (None, "no id"), (None, "no id")]
+    table = docs(spark, some, CLASH)
+    kept = simhash.deduplicate(table)
+    assert kept.columns == table.columns
+    got = kept.collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == stays(some)
+    assert all(r[c] == "x" for r in got for c in CLASH)
+
+
+@pytest.mark.parametrize(("block", "short", "pairs"), [(2048, 64, 256), (8, 2, 4)])
+def test_a_large_group_of_near_copies(spark, monkeypatch, block, short, pairs):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SHORT", short)
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    base = [f"w{i}" for i in range(300)]
+    some = [(i, " ".join([*base[: i % 290], f"x{i}", *base[i % 290 :]])) for i in range(120)] + [(500 + i, f"alone {i} in every way {i * 7}") for i in range(30)]
+    got = [r["doc_id"] for r in simhash.deduplicate(docs(spark, some)).collect()]
+    assert sorted(got) == [i for i, _ in stays(some)] and got.count(0) == 1
+
+
+def test_similar_texts_are_found(spark):
+    """Pairs just above the threshold: nearly all are linked, and none below it."""
+    rng = np.random.default_rng(9)
+    some = []
+    for g in range(300):
+        base = [f"u{x}" for x in rng.integers(0, 10**6, 200)]
+        other = list(base)
+        for j in rng.choice(200, 4 if g % 2 else 8, replace=False):  # similarities of about 0.82 and 0.68
+            other[j] = f"y{g}"
+        some += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    got = {r["doc_id"] for r in simhash.deduplicate(docs(spark, some)).collect()}
+    want = {i for i, _ in stays(some)}
+    assert want <= got and len(got - want) <= 0.02 * (len(some) - len(want)) + 1
+
+
 def test_odd_rows_and_deduplication(spark):
     table = docs(spark, ODD, CLASH)
     got = simhash.near_duplicates(table)
@@ -145,14 +222,46 @@ ITEMS = [(1, "the quick brown fox jumps over the lazy dog near a river bank"), (
 PLANTED = ODD + [(20, "x y the quick brown fox jumps over the lazy dog near a river bank z"), (21, "SHORT-item! short item item"), (22, "the quick brown fox jumps over the lazy"), (23, "ÉTÉ 漢字 12 x")]
 
 
-@pytest.mark.parametrize("most", [decontaminate.BROADCAST_WINDOWS, 0])
-def test_contamination_matches_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins are shuffled, as they are of tables that are large."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_contamination_matches_brute_force(spark):
     got = rows(decontaminate.contamination(docs(spark, PLANTED, CLASH), bench(spark, ITEMS)))
     want = [(i, *slow_hits(t, ITEMS)) for i, t in PLANTED]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_contamination_without_a_broadcast(spark, no_broadcast):
+    df = decontaminate.contamination(docs(spark, PLANTED, CLASH), bench(spark, ITEMS), broadcast_bytes=0)
+    got = rows(df)
+    want = [(i, *slow_hits(t, ITEMS)) for i, t in PLANTED]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    kept = decontaminate.decontaminate(docs(spark, PLANTED, CLASH), bench(spark, ITEMS), broadcast_bytes=0)
+    assert sorted((str(r["doc_id"]) for r in kept.collect())) == sorted(str(i) for i, t in PLANTED if not slow_hits(t, ITEMS)[4])
+    spans = decontaminate.decontaminate(docs(spark, PLANTED, CLASH), bench(spark, ITEMS), mode="span", broadcast_bytes=0)
+    assert {r["doc_id"]: r["text"] for r in spans.collect()}[20] == "x y z"
+
+
+def test_only_numbers_are_shuffled(spark, no_broadcast):
+    """What a hash join shuffles for each word has a fixed size, however long the text."""
+    words = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(3000))) for i in range(4)], "rid long, text string")
+    known = decontaminate.Known(bench(spark, ITEMS), 10, 0)
+    hits, items = decontaminate._hits_shuffled(words, known)
+    assert hits.count() == 0 and items.count() == 0
+    plan = words.select("rid", decontaminate.words(decontaminate.F.col("text")).alias("ws"))
+    probes = decontaminate.with_window_hashes(plan, known.sizes).select("rid", decontaminate.F.explode(decontaminate._windows(10)).alias("p")).select("rid", "p.*")
+    assert [t for _, t in probes.dtypes] == ["bigint", "int", "int", "bigint"]
+
+
 def test_contamination_on_empty_tables(spark):
     assert decontaminate.contamination(docs(spark, []), bench(spark, ITEMS)).count() == 0
     got = decontaminate.contamination(docs(spark, PLANTED), bench(spark, []))
@@ -162,7 +271,7 @@ def test_contamination_on_empty_tables(spark):
 def test_decontaminate_drops_documents_or_spans(spark):
     table = docs(spark, PLANTED, CLASH)
     kept = decontaminate.decontaminate(table, bench(spark, ITEMS))
-    assert kept.columns == table.columns
+    assert kept.columns == table.columns and all(r[c] == "x" for r in kept.collect() for c in CLASH)
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, t in PLANTED if not slow_hits(t, ITEMS)[4])
     spans = decontaminate.decontaminate(table, bench(spark, ITEMS), mode="span")
     texts = {r["doc_id"]: r["text"] for r in spans.collect()}
@@ -182,6 +291,12 @@ def test_license_digests(spark):
     some = ODD + [(30, mit), (31, isc), (32, bsd + " extra"), (33, "text\nReleased under the MIT Licence.\nmore\nlicensed under the apache license version 2.0\nReleased under the MIT License"), (34, "Released under the MIT License. And more.")]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, some, CLASH)).collect()}
     assert [got[i]["license"] for i in (30, 31, 32, 33)] == ["MIT", "ISC", None, None]
+    files = {k: t for k, t in licenses.whole_texts()}
+    titled = [(40, "MIT License\n\nCopyright (c) 2020 A\n\n" + files["MIT"]), (41, "The MIT License (MIT)\n\n" + files["MIT"]), (42, "ISC Licence\n\n" + files["ISC"]), (43, files["GPL-3.0"].upper()), (44, files["Apache-2.0"].replace("\n", "\n   ")), (45, "BSD 3-Clause License\n\nCopyright (c) 2021, B\nAll rights reserved.\n\n" + files["BSD-3-Clause"]), (46, "MIT License")]
+    found = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs(spark, titled)).collect()}
+    assert found == {40: "MIT", 41: "MIT", 42: "ISC", 43: "GPL-3.0", 44: "Apache-2.0", 45: "BSD-3-Clause", 46: None}
+    lines = [(50, "Licensed under the BSD 3-Clause License"), (51, "This program is distributed under the terms of the GNU General Public License, version 2."), (52, "CC BY 4.0"), (53, "available under CC BY 4.0"), (54, "SPDX-License-Identifier: LGPL-2.1-or-later")]
+    assert {r["doc_id"]: r["notices"] for r in licenses.scan_licenses(docs(spark, lines)).collect()} == {50: "BSD-3-Clause", 51: "GPL-2.0", 52: "", 53: "CC-BY-4.0", 54: "LGPL-2.1"}
     assert got[33]["notices"] == "Apache-2.0,MIT" and got[34]["notices"] == "" and got[1]["notices"] == ""
     assert got[1]["text_digest"] == got[2]["text_digest"] == hashlib.sha256(b"").hexdigest()
     assert licenses.scan_licenses(docs(spark, some)).count() == len(some)
@@ -235,6 +350,50 @@ def test_language_on_empty_tables(spark):
     assert kept.columns == table.columns and kept.count() == 120 and kept.first()["score"] == "x"
 
 
+def slow_mixture(likelihood):
+    """Proportions of one document by plain loops."""
+    k = likelihood.shape[1]
+    p = np.exp(likelihood.astype(float) - likelihood.max(axis=1, keepdims=True))
+
+    def fit(pi, rounds):
+        for _ in range(rounds):
+            pi = np.mean([w * pi / (w * pi).sum() for w in p], axis=0)
+        return pi, sum(math.log((w * pi).sum()) if (w * pi).sum() > 0 else -math.inf for w in p)
+
+    pi, best = fit(np.full(k, 1 / k), langid.ROUNDS)
+    for _ in range(k - 1):
+        if (pi > 0).sum() <= 1:
+            break
+        smaller = np.where(np.arange(k) == np.where(pi > 0, pi, np.inf).argmin(), 0, pi)
+        smaller = smaller / smaller.sum()
+        fitted, other = fit(smaller + 1e-12 * (smaller > 0), langid.MORE_ROUNDS)
+        if other + langid.PENALTY * math.log(len(p) + 1) < best:
+            break
+        pi, best = fitted, other
+    return pi
+
+
+def test_mixtures_match_plain_loops():
+    rng = np.random.default_rng(6)
+    sizes = [1, 2, 7, 40, 90]
+    some = [np.float32(rng.normal(-20, 6, (n, 4))) for n in sizes]
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        got = langid.mixtures(np.concatenate(some), np.array(sizes))
+    for g, s in zip(got, some, strict=True):
+        assert g == pytest.approx(slow_mixture(s), abs=1e-3)
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    """Distinct words and how often they occur say the same as all words."""
+    rng = np.random.default_rng(2)
+    table = np.float32(rng.normal(-8, 2, (langid.BUCKETS, 3)))
+    text = " ".join(rng.choice((EN + " " + DE).split(), 4000))
+    whole = langid.predict([text, "x y"], ["a", "b", "c"], table)
+    monkeypatch.setattr(langid, "CHUNK", 500)
+    pieces = langid.predict([text, "x y", "1 " * 600], ["a", "b", "c"], table)
+    assert pieces[0] == [*whole[0], "und"] and pieces[1][:2] == pytest.approx(whole[1], abs=1e-3)
+
+
 # Packing
 
 PATH = __import__("public_tokenizers").path("word_bpe_49k.json")
@@ -252,7 +411,7 @@ def test_encoder_equals_tokenizer(t):
 def test_packing_round_trip(spark, sf):
     e = packing.encoder(PATH)
     some = ODD + [(100 + i, f"lorem ipsum {i} " * (i % 400)) for i in range(60)]
-    got = packing.pack_documents(docs(spark, some, CLASH), PATH, shard_bytes=20_000).collect()
+    got = packing.pack_documents(docs(spark, some, CLASH), PATH, shard_tokens=5_000).collect()
     want = Counter((i, tuple(e.tokenizer.encode(t or "", add_special_tokens=False).ids) + (1,)) for i, t in some)
     by_seq, pieces = {}, {}
     for p in got:
@@ -275,6 +434,45 @@ def test_packing_round_trip(spark, sf):
     assert packing.pack_documents(docs(spark, []), PATH).count() == 0
 
 
+def slow_neighbours(texts, seed, used):
+    n, mean = len(texts), sum(map(len, texts)) / len(texts)
+    df = Counter(t for d in texts for t in set(d.tolist()))
+    score = Counter()
+    for t in set(texts[seed].tolist()):
+        if 2 * df[t] <= max(n, 2):
+            for i, d in enumerate(texts):
+                if tf := d.tolist().count(t):
+                    score[i] += math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+    return {i: v for i, v in score.items() if i not in used}
+
+
+def test_the_index_returns_every_neighbour_in_order_of_bm25():
+    rng = np.random.default_rng(3)
+    texts = [np.minimum(rng.zipf(1.3, int(rng.integers(1, 60))), 400).astype(np.uint16) for _ in range(300)]
+    index = packing.Index(texts)
+    index.used[[3, 5]] = True
+    for seed in (0, 17, 200):
+        want = slow_neighbours(texts, seed, {3, 5})
+        got = list(index.neighbours(seed))
+        assert set(got) == set(want)  # more than are ranked at a time, all of them
+        assert [want[i] for i in got] == pytest.approx(sorted(want.values(), reverse=True), rel=1e-4)
+
+
+def test_texts_alike_lie_in_one_shard(spark):
+    """Whatever the number of shards: copies are packed with their copies."""
+    rng = np.random.default_rng(1)
+    some = []
+    for g in range(60):
+        words = " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(60))
+        some += [(10 * g + c, words) for c in range(3)]
+    got = packing.pack_documents(docs(spark, [some[i] for i in rng.permutation(len(some))]), PATH, shard_tokens=4000).collect()
+    windows = {}
+    for p in got:
+        windows.setdefault(p["doc_id"], set()).add(p["sequence_id"])
+    near = sum(any(abs(a - b) <= 12 for a in windows[10 * g] for b in windows[10 * g + 1]) for g in range(60))
+    assert near >= 50
+
+
 def test_packing_prefers_lexical_neighbours():
     a, b = np.arange(100, 200), np.arange(300, 400)
     texts = [a, b, a.copy(), b.copy()]
@@ -321,7 +519,7 @@ def test_decisions_are_a_probability():
     pairs = np.zeros((256, 256))
     pairs[255, 97] = 50
     code = mixing.Code(pairs)
-    tables = [np.full(1 << b, 128, np.uint8) for b in mixing.BITS]
+    tables = [np.full(1 << 14, 128, np.uint8) for _ in range(mixing.HASHED)]
     weights = np.full((mixing.GATES, mixing.HASHED + 2), 0.4, np.float32)
     weights[:, -1] = 0
     total = math.exp(mixing.score_texts([b""], code, tables, weights)[0][0])  # of the end at once

@@ -19,7 +19,7 @@ def slow_score(text, code, tables, weights, stride=96):
         step, shift = np.zeros(mixing.HASHED + 1), 0.0
         for i in range(lo, min(lo + stride, len(symbols))):
             place, n = code.decisions(symbols[i : i + 1], before[i : i + 1])
-            raw = [tables[k][mixing._slot(h[i : i + 1], n, code.salt[place], mixing.BITS[k])] for k, h in enumerate(hashed)]
+            raw = [tables[k][mixing._slot(h[i : i + 1], n, code.salt[place], len(tables[k]).bit_length() - 1)] for k, h in enumerate(hashed)]
             gate = (raw[1] & 3) * 4 + (raw[2] & 3)
             odds = np.array([*(mixing._ODDS[r] for r in raw), code.direct[place]], float)
             x = (odds * (weights[gate, :-1].T + own[:, None])).sum(axis=0) + weights[gate, -1] + offset
@@ -37,7 +37,7 @@ def test_every_stride_of_a_long_text_is_refined():
     rng = np.random.default_rng(0)
     pairs = rng.integers(0, 50, (256, 256)).astype(float)
     code = mixing.Code(pairs)
-    tables = [rng.integers(112, 144, 1 << b).astype(np.uint8) for b in mixing.BITS]
+    tables = [rng.integers(112, 144, 1 << b).astype(np.uint8) for b in (16, 15, 14)]
     weights = np.full((mixing.GATES, mixing.HASHED + 2), 0.2, np.float32)
     weights[:, -1] = 0
     texts = [b"some words and more " * 200, b"short", b"other " * 300]
@@ -45,6 +45,45 @@ def test_every_stride_of_a_long_text_is_refined():
     assert got == pytest.approx([slow_score(t, code, tables, weights) for t in texts], rel=1e-4)
 
 
+def test_counts_survive_packing():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 3, 2 * mixing.PART).astype(np.int32)
+    counts[rng.integers(0, len(counts), 200)] = rng.integers(16, 1 << 30, 200)
+    assert (mixing._unpacked(mixing._packed(counts)) == counts).all()
+    assert (mixing._unpacked(counts.astype("<i4").tobytes()) == counts).all()
+
+
+@pytest.mark.parametrize("group", [mixing.GROUP, 2])
+def test_tables_count_every_training_text_and_scores_follow_from_them(spark, monkeypatch, group):
+    """By brute force: decisions of all training texts, long and short, one by one; then the score of each text."""
+    monkeypatch.setattr(mixing, "GROUP", group)
+    rng = np.random.default_rng(7)
+    some = [(i, " ".join(rng.choice("the cat sat on a mat and ran home again".split(), int(rng.integers(1, 40))))) for i in range(60)] + [(100, "long " * 4000), (101, None), (None, "no id")]
+    training = [(i, t) for i, t in some if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    model = mixing.Model(docs(spark, training).repartition(5).select("doc_id", "text"))
+    counts = [np.zeros((len(t), 2), int) for t in model.tables]
+    for _, t in training:
+        symbols, before, hashed, *_ = mixing.contexts([mixing.text_bytes(t)])
+        for i in range(len(symbols)):
+            place, n = model.code.decisions(symbols[i : i + 1], before[i : i + 1])
+            for k, h in enumerate(hashed):
+                np.add.at(counts[k], (mixing._slot(h[i : i + 1], n, model.code.salt[place], model.bits[k]), model.code.bit[place]), 1)
+    for table, c in zip(model.tables, counts, strict=True):
+        odds = np.clip(np.round(np.log((c[:, 1] + mixing.PRIOR) / (c[:, 0] + mixing.PRIOR)) / mixing.UNIT), -32, 31)
+        seen = c.sum(axis=1) > 0
+        assert ((table >> 2).astype(int) - 32 == odds)[seen].all() and (table[~seen] == 128).all()
+        assert ((table & 3) == np.searchsorted(mixing.SURE, c.sum(axis=1), "right"))[seen].all()
+    got = mixing.score_texts([mixing.text_bytes(t) for _, t in some], model.code, model.tables, model.weights)[0]
+    assert got == pytest.approx([slow_score(mixing.text_bytes(t), model.code, model.tables, model.weights) for _, t in some], rel=1e-3)
+    scored = {r["doc_id"]: r["score"] for r in mixing.score_documents(docs(spark, some)).collect()}
+    assert len(scored) == len(some) and all(v < 0 for v in scored.values())
+
+
+def test_tables_grow_with_the_training_texts():
+    bits = [mixing.table_bits(n) for n in (0, 10**5, 10**7, 10**8, 10**12)]
+    assert all(all(a <= b for a, b in zip(x, y, strict=True)) for x, y in zip(bits, bits[1:])) and bits[1] < bits[2] and bits[-1] == mixing.MOST
+
+
 # Language identification
 
 
@@ -82,18 +121,21 @@ def html_pages(spark, some):
     return spark.createDataFrame(some, "page_id long, url string, html string")
 
 
-@pytest.mark.parametrize("hot", [wrappers.HOT_HOSTS, 2])
-def test_copies_of_a_page_are_no_template(spark, monkeypatch, hot):
-    monkeypatch.setattr(wrappers, "HOT_HOSTS", hot)
+@pytest.mark.parametrize("slice_", [wrappers.SLICE, 7])
+def test_copies_of_a_page_are_no_template(spark, monkeypatch, slice_):
+    monkeypatch.setattr(wrappers, "SLICE", slice_)
+    monkeypatch.setattr(wrappers, "PARTS", 4)
     some = [(i, f"http://mirror.org/?session={i}", PLAIN.format("alpha") + f"<!-- {i} -->") for i in range(200)] + [(1000 + i, f"http://one.org/{i}", "<p>Only this paragraph.</p>") for i in range(5)]
     got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(html_pages(spark, some)).collect()}
     assert {got[i] for i in range(200)} == {"About alpha\n\nalpha one two three four five\n\nsix seven alpha eight nine ten eleven"}
     assert {got[1000 + i] for i in range(5)} == {"Only this paragraph."}
 
 
-@pytest.mark.parametrize("hot", [wrappers.HOT_HOSTS, 1])
-def test_every_page_is_read_by_its_hosts_wrapper(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("slice_", "hot"), [(wrappers.SLICE, wrappers.HOT_HOSTS), (5, wrappers.HOT_HOSTS), (5, 0)])
+def test_every_page_is_read_by_its_hosts_wrapper(spark, monkeypatch, slice_, hot):
     """65 pages of one host: none keeps a text that all of them have."""
+    monkeypatch.setattr(wrappers, "SLICE", slice_)
+    monkeypatch.setattr(wrappers, "PARTS", 3)
     monkeypatch.setattr(wrappers, "HOT_HOSTS", hot)
     body = "<body><div><p>{0} one two three four five</p><h4>Imprint</h4><div><p>{0} six seven</p></div></div></body>"
     some = [(i, f"http://host.org/{i}", body.format(f"w{i}")) for i in range(65)] + [(1000 + i, f"http://other{i}.org/", body.format("x")) for i in range(30)]
@@ -107,4 +149,5 @@ def test_wrappers_survive_bytes():
     wrapper = wrappers.infer(trees)
     again = wrappers.load(wrappers.dump(wrapper))
     assert str(again) == str(wrapper)
-    assert wrappers._article(again) == wrappers._article(wrapper) and wrappers.extract(trees[1], again) == wrappers.extract(trees[1], wrapper)
+    wrappers.complete(again)
+    assert [g.label for g in wrappers.article(again)] == [g.label for g in wrappers.article(wrapper)] and wrappers.extract(trees[1], again) == wrappers.extract(trees[1], wrapper)

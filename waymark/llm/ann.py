@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by collision counting (after QALSH, Huang et al., 2015).
 
 Vectors lie in cells: those of one band of lengths whose direction is closest
-to one centroid of a bounded sample.  A query asks the sample first; its k-th
+to one centroid of a bounded sample.  A query asks the sample first; its 2k-th
 best there bounds what it looks for, so cells that can't hold anything better
 (by their lengths and their radius) are left out, exactly.  A block of a cell
 keeps one sorted array of projections for each random line; a query's windows
@@ -148,7 +148,7 @@ def _route(sample_ids, sample, c, cells, dim, k):
             ids, q = b.column(0).to_numpy(), _matrix(b.column(1), dim)
             scores = q @ sample.T
             scores[ids[:, None] == sample_ids[None, :]] = -np.inf
-            least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
+            least = np.partition(scores, -2 * k, axis=1)[:, -2 * k] if scores.shape[1] >= 2 * k else np.full(len(ids), -np.inf)
             size = np.sqrt((q * q).sum(axis=1))[:, None]
             # a direction of the cell is at most ``away`` from its centroid; lengths lie between the fewest and the most
             best = np.minimum(q @ centre.T + size * away[None, :], size)
@@ -179,7 +179,7 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, exact: bool = F
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n, longest = sizes[0]
     own = valid.where(F.size("v") == dim)
-    picked = own.withColumn("h", F.xxhash64("id", "v")).orderBy("h", "id").limit(max(k + 1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).select("id", "v").toArrow()
+    picked = own.withColumn("h", F.xxhash64("id", "v")).orderBy("h", "id").limit(max(2 * k + 1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).select("id", "v").toArrow()
     sample_ids, sample = picked.column("id").to_numpy(), _matrix(picked.column("v"), dim)
     c = centroids(sample, min(CENTROIDS, math.ceil(n / BLOCK)))
     assigned = materialize(own.mapInArrow(_assign(c, dim, longest), "id long, v array<double>, cell int, away double, size double"), "assigned")
@@ -187,23 +187,36 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, exact: bool = F
     asked = own.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
     cells = [(r["cell"], r["away"] * (1 + 1e-9) + 1e-9, r["most"], r["fewest"]) for r in by_cell]
     visits = materialize(asked.mapInArrow(_route(sample_ids, sample, c, cells, dim, k), "id long, v array<double>, cell int, least double"), "visits")
-    visited = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}  # as many
-    dealt = spark.createDataFrame([(r["cell"], math.ceil(r["n"] / BLOCK), math.ceil(visited[r["cell"]] / QUERY_BLOCK)) for r in by_cell if r["cell"] in visited], "cell int, blocks int, slices int")
     place = F.xxhash64("id", F.monotonically_increasing_id())  # repeated rows are dealt out, too
-    base = assigned.withColumn("h", place).join(F.broadcast(dealt), "cell")
-    base = base.select(F.lit(0).alias("kind"), "id", "v", F.lit(0.0).alias("least"), "cell", F.pmod("h", "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    queries = visits.join(F.broadcast(dealt), "cell")
-    queries = queries.select(F.lit(1).alias("kind"), "id", "v", "least", "cell", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-
-    def run(t: pa.Table) -> pa.Table:
-        kind, ids, least = (t.column(x).to_numpy() for x in ("kind", "id", "least"))
-        v = _matrix(t.column("v"), dim)
-        x, q = kind == 0, kind == 1
-        if not x.any() or not q.any():
-            return _SCHEMA.empty_table()
-        got = search_block(ids[x], v[x], ids[q], v[q], least[q], k, exact=exact)
-        return pa.table([pa.array(c, f.type) for c, f in zip(got, _SCHEMA, strict=True)], schema=_SCHEMA)
-
-    found = base.unionByName(queries).groupBy("cell", "block", "slice").applyInArrow(run, "query_id long, vec_id long, score double")
+    base_rows = assigned.withColumn("h", place)
+
+    def search(visits: DataFrame, exact: bool) -> DataFrame:
+        visited = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}  # as many rows
+        dealt = spark.createDataFrame([(r["cell"], math.ceil(r["n"] / BLOCK), math.ceil(visited[r["cell"]] / QUERY_BLOCK)) for r in by_cell if r["cell"] in visited], "cell int, blocks int, slices int")
+        base = base_rows.join(F.broadcast(dealt), "cell")
+        base = base.select(F.lit(0).alias("kind"), "id", "v", F.lit(0.0).alias("least"), "cell", F.pmod("h", "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        queries = visits.join(F.broadcast(dealt), "cell")
+        queries = queries.select(F.lit(1).alias("kind"), "id", "v", "least", "cell", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+        def run(t: pa.Table) -> pa.Table:
+            kind, ids, least = (t.column(x).to_numpy() for x in ("kind", "id", "least"))
+            v = _matrix(t.column("v"), dim)
+            x, q = kind == 0, kind == 1
+            if not x.any() or not q.any():
+                return _SCHEMA.empty_table()
+            got = search_block(ids[x], v[x], ids[q], v[q], least[q], k, exact=exact)
+            return pa.table([pa.array(c, f.type) for c, f in zip(got, _SCHEMA, strict=True)], schema=_SCHEMA)
+
+        found = base.unionByName(queries).groupBy("cell", "block", "slice").applyInArrow(run, "query_id long, vec_id long, score double")
+        return materialize(found, "found")
+
+    found = search(visits, exact)
+    if not exact:
+        # a query that found too few, which is rare, has every vector of its cells verified
+        counts = found.groupBy(F.col("query_id").alias("id")).count()
+        few = materialize(visits.select("id").distinct().join(counts, "id", "left").where(F.coalesce("count", F.lit(0)) < k).select("id"), "few")
+        if not few.isEmpty():
+            again = search(materialize(visits.join(few, "id", "left_semi"), "again"), True)
+            found = found.join(few.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(again)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return materialize(found, "found").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import give_back
+from waymark.llm.common import give_back, numbered_columns
 
 #: Hashed n-grams; languages whose counts a task holds before it sends them on.
 BUCKETS, HELD = 1 << 16, 128
@@ -267,8 +267,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col:
     """
     langs, table = model
     new = list(names)
-    kept = docs.drop(*new)
-    place = kept.columns.index(text_col)
+    shown = docs.drop(*new)
+    kept = numbered_columns(shown)  # columns go to Python by names without dots
+    place = shown.columns.index(text_col)
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in zip(new, (T.StringType(), T.DoubleType(), T.StringType()), strict=True))])
 
     def run(batches):
@@ -277,7 +278,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col:
             got = predict(b.column(place).to_pylist(), langs, table)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.string())], names=[*b.schema.names, *new])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*shown.columns, *new)
 
 
 def predictions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", divisor: int = 4, held: int = 2) -> DataFrame:
@@ -309,12 +310,12 @@ def keep_identified(docs: DataFrame, *, languages: list[str] | None = None, leas
     with ``languages``, texts in others.  If no language was learnt, all texts
     with a letter stay.
     """
-    model = learn(docs.where(remainder(F.col(id_col), divisor) != held), text_col=text_col, lang_col=lang_col)
+    i, t, g = (f"c{docs.columns.index(c)}" for c in (id_col, text_col, lang_col))
+    rows = numbered_columns(docs)
+    model = learn(rows.where(remainder(F.col(i), divisor) != held), text_col=t, lang_col=g)
     if not model[0]:
-        return docs.mapInArrow(_lettered(docs.columns.index(text_col)), docs.schema)
-    names = tuple(next(c for c in (("_" * i) + n for i in range(1, 99)) if c not in docs.columns) for n in NAMES)
-    found = identify(docs, model, text_col=text_col, names=names)
-    led = (F.col(names[0]) != "und") & (F.col(names[1]) >= least_share)
+        return rows.mapInArrow(_lettered(rows.columns.index(t)), rows.schema).toDF(*docs.columns)
+    led = (F.col("lang_pred") != "und") & (F.col("score") >= least_share)
     if languages is not None:
-        led = led & F.col(names[0]).isin(languages)
-    return found.where(led).select(*[F.col(f"`{c}`") for c in docs.columns])
+        led = led & F.col("lang_pred").isin(languages)
+    return identify(rows, model, text_col=t).where(led).select(*rows.columns).toDF(*docs.columns)

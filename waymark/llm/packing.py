@@ -31,8 +31,8 @@ WINDOW = 2048
 END = 1
 #: Tokens of a shard (some 8 MB of text); a longer document is a shard with others before it.
 SHARD_TOKENS = 2_000_000
-#: Minima of hashes that a document is sorted by, and the odd numbers that make the hashes.
-SORTED_BY = [0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35]
+#: What a document is sorted by: minima of hashes of its runs of so many tokens, and the odd numbers that make the hashes.
+SORTED_BY = [(1, 0x9E3779B1), (2, 0x85EBCA6B), (4, 0xC2B2AE35)]
 #: BM25's constants; neighbours ranked at a time.
 K1, B, RANKED = 1.2, 0.75, 128
 # The normaliser and pre-tokeniser of the tokenizer whose pieces between spaces can be encoded alone.
@@ -124,12 +124,16 @@ def encoder(path: str) -> Encoder:
 
 
 def _minima(ids: list[bytes], sizes: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each document, minima of hashes of its ids; documents that share most ids mostly share them too."""
+    """For each document, minima of hashes of its runs of ids; documents that share most of these mostly share the minima too."""
     x = np.frombuffer(b"".join(ids), f"<u{width}").astype(np.uint32) + np.uint32(1)
     starts = np.cumsum(sizes) - sizes
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(x))  # ids from each to its document's end
     out = []
-    for odd in SORTED_BY:
+    for run, odd in SORTED_BY:
         h = x * np.uint32(odd)
+        for k in range(1, run):  # a run that the end cuts is shorter
+            following = np.where(left[: len(x) - k] > k, x[k:], np.uint32(0))
+            h[: len(x) - k] = (h[: len(x) - k] ^ (h[: len(x) - k] >> np.uint32(16))) * np.uint32(0x45D9F3B) + following * np.uint32(odd)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
