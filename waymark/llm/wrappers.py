@@ -519,30 +519,19 @@ def _infer_parts(batches):
         yield _part(*key, dump(wrapper))
 
 
-def _merge_parts(every_salt):
-    """Rows (host, part, salt, wrapper) in order of host and part; each one's wrapper, for one or for all of its salts."""
-
-    def run(batches):
-        wrapper, key, salts = None, None, []
-
-        def done():
-            data = dump(wrapper)
-            for salt in salts if every_salt else salts[:1]:
-                yield _part(key[0], salt, data)
-
-        for b in batches:
-            for host, part, salt, data in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                if (host, part) != key:
-                    if wrapper is not None:
-                        yield from done()
-                    wrapper, key, salts = load(data), (host, part), []
-                else:
-                    merge(wrapper, load(data))
-                salts.append(salt)
-        if wrapper is not None:
-            yield from done()
-
-    return run
+def _merge_parts(batches):
+    """Rows (host, part, salt, wrapper) in order of host and part; the wrapper of each of these, with one of its salts."""
+    wrapper, key, own = None, None, 0
+    for b in batches:
+        for host, part, salt, data in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+            if (host, part) == key:
+                merge(wrapper, load(data))
+                continue
+            if wrapper is not None:
+                yield _part(key[0], own, dump(wrapper))
+            wrapper, key, own = load(data), (host, part), salt
+    if wrapper is not None:
+        yield _part(key[0], own, dump(wrapper))
 
 
 def _extract(batches):
@@ -583,9 +572,9 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     if not hot.isEmpty():
         # a wrapper for every PARTS parts of a host, then one of these for each host
         own = parts.select("host", F.floor(F.col("salt") / PARTS).cast("int").alias("part"), "salt", "wrapper")
-        parts = materialize(own.repartition("host", "part").sortWithinPartitions("host", "part", "salt").mapInArrow(_merge_parts(False), schema), "parts")
+        parts = own.repartition("host", "part").sortWithinPartitions("host", "part", "salt").mapInArrow(_merge_parts, schema)
         one = parts.select("host", F.lit(0).alias("part"), "salt", "wrapper")
-        merged = one.repartition("host").sortWithinPartitions("host", "part", "salt").mapInArrow(_merge_parts(False), schema)
+        merged = one.repartition("host").sortWithinPartitions("host", "part", "salt").mapInArrow(_merge_parts, schema)
         merged = merged.drop("salt")
         merged = merged.join(F.broadcast(hot) if few else hot, "host", "left").select("host", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "wrapper")
     else:
