@@ -14,7 +14,7 @@ from waymark.sources.tables import materialize
 #: Rows of a probe side up to which it is broadcast.
 BROADCAST_ROWS = 100_000
 #: A ray ends here; boxes that its cone is covered by, each twice as long as the one before.
-RAY_LENGTH, RAY_BOXES = 240.0, 16
+RAY_LENGTH, RAY_BOXES = 240.0, 6
 #: Times a box grows fourfold before the whole table is read.
 GROWS = 4
 #: Rows of a part up to which a summary gives the exact median.
@@ -165,13 +165,15 @@ def spatial_partition(stars: DataFrame, depth: int, exact: int = EXACT) -> DataF
     a summary, larger ones from their places in a sort.
     """
     out = stars.withColumn("part", F.lit(0))
+    small = stars.limit(exact + 1).count() <= exact
     for _ in range(depth):
         by = out.groupBy("part").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"w{c}") for c in AXES], *[F.percentile_approx(c, 0.5, 100_000).alias(f"m{c}") for c in AXES])
         wide = F.greatest(*[F.col(f"w{c}") for c in AXES])
         axis = F.when(F.col("wz") == wide, "z").when(F.col("wy") == wide, "y").otherwise("x")
-        by = materialize(by.select("part", "n", axis.alias("axis"), F.when(axis == "z", F.col("mz")).when(axis == "y", F.col("my")).otherwise(F.col("mx")).alias("median")), "medians")
+        by = by.select("part", "n", axis.alias("axis"), F.when(axis == "z", F.col("mz")).when(axis == "y", F.col("my")).otherwise(F.col("mx")).alias("median"))
+        by = by if small else materialize(by, "medians")
         value = F.when(F.col("axis") == "z", F.col("z")).when(F.col("axis") == "y", F.col("y")).otherwise(F.col("x"))
-        if (by.agg(F.max("n")).first()[0] or 0) > exact:
+        if not small and by.agg(F.max("n")).first()[0] > exact:
             by = by.drop("median").join(materialize(_medians(out.join(F.broadcast(by), "part").select("part", value.alias("value"))), "medians"), "part")
         out = out.join(F.broadcast(by), "part").withColumn("part", F.col("part") * 2 + (value > F.col("median")).cast("int")).drop("axis", "median", "n")
     return out
