@@ -53,10 +53,13 @@ def test_counts_survive_packing():
     assert (mixing._unpacked(counts.astype("<i4").tobytes()) == counts).all()
 
 
-@pytest.mark.parametrize("group", [mixing.GROUP, 2])
-def test_tables_count_every_training_text_and_scores_follow_from_them(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "wide", "full"), [(mixing.GROUP, mixing.WIDE_BITS, mixing.FULL), (2, 14, 50)])
+def test_tables_count_every_training_text_and_scores_follow_from_them(spark, monkeypatch, group, wide, full):
     """By brute force: decisions of all training texts, long and short, one by one; then the score of each text."""
     monkeypatch.setattr(mixing, "GROUP", group)
+    monkeypatch.setattr(mixing, "WIDE_BITS", wide)
+    monkeypatch.setattr(mixing, "FULL", full)
+    monkeypatch.setattr(mixing, "GATHER", 3000)
     rng = np.random.default_rng(7)
     some = [(i, " ".join(rng.choice("the cat sat on a mat and ran home again".split(), int(rng.integers(1, 40))))) for i in range(60)] + [(100, "long " * 4000), (101, None), (None, "no id")]
     training = [(i, t) for i, t in some if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
