@@ -9,13 +9,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.sources.tables import fresh_path, materialize, remove, shared_dir
+from waymark.sources import tables
+from waymark.sources.tables import fresh_path, remove, shared_dir
 
 __all__ = ["fold", "fresh_path", "give_back", "materialize", "numbered_columns", "quoted", "remove", "shared_dir", "shuffle_partitions", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of one batch between the JVM and Python while a table is written; the JVM and two workers hold one each, and texts are long.
+BATCH_ROWS = 4000
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write a table to the shared folder and read it back, Arrow batches of at most BATCH_ROWS rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return tables.materialize(df, tag)
+    finally:
+        conf.set(key, before)
+
+
 def fold(c: Column) -> Column:
     """Lower-case A-Z alone; every other character stays."""
     return F.translate(c, UPPER, LOWER)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import materialize, shuffle_partitions
+from waymark.llm.common import give_back, materialize, shuffle_partitions
 
 WINDOW = 2048
 #: The id that ends each document.
@@ -143,6 +143,7 @@ def _minima(ids: list[bytes], sizes: np.ndarray, width: int) -> list[np.ndarray]
 
 def _tokenise(path):
     def run(batches):
+        give_back()
         enc = encoder(path)
         end = array(enc.code, [END]).tobytes()
         for b in batches:
@@ -161,19 +162,22 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray]):
         self.docs = docs
-        found = [np.unique(d, return_counts=True) for d in docs]
+        found = [(t, n.astype(np.float32)) for t, n in (np.unique(d, return_counts=True) for d in docs)]
         sizes = np.array([len(t) for t, _ in found])
         terms, tf = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-        owner = np.repeat(np.arange(len(docs)), sizes)
-        length = np.array([len(d) for d in docs], float)
-        _, term = np.unique(terms, return_inverse=True)
-        telling = (np.bincount(term) * 2 <= max(len(docs), 2))[term]
-        term, tf, owner = term[telling], tf[telling], owner[telling]
-        df = np.bincount(term)
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / length.mean()))
+        del found
+        owner = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
+        length = np.array([len(d) for d in docs], np.float32)
+        vocabulary, held = np.unique(terms, return_counts=True)
+        telling = vocabulary[held * 2 <= max(len(docs), 2)]
+        kept = np.isin(terms, telling)
+        term, tf, owner = np.searchsorted(telling, terms[kept]).astype(np.int32), tf[kept], owner[kept]
+        del terms, kept
+        df = np.bincount(term, minlength=len(telling))
+        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
+        weight = idf[term] * tf * np.float32(K1 + 1) / (tf + (K1 * (1 - B + B * length / length.mean())).astype(np.float32)[owner])
         by_term = np.argsort(term, kind="stable")
-        self.posted, self.weight = owner[by_term], weight[by_term].astype(np.float32)
+        self.posted, self.weight = owner[by_term], weight[by_term]
         self.lists = np.concatenate([[0], np.cumsum(df)])
         self.first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(docs)))])
         self.term = term
@@ -249,6 +253,7 @@ def _pack_shards(most):
     """Rows (doc_id, n, ids) in order, cut into shards of ``most`` tokens."""
 
     def run(batches):
+        give_back()
         rows, held, sequences = [], 0, TaskContext.get().partitionId() << 33
 
         def done(first):
