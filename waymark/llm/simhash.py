@@ -319,7 +319,7 @@ def _partners(f: np.ndarray, run: np.ndarray, side: np.ndarray, split: np.ndarra
 
 
 def _candidates(batches):
-    """Rows (k, i, j, side, rid, f0..) in order of list and rid; pairs (a, b) of rids, a after b in its list."""
+    """Rows (k, i, j, side, rid, f0..) in order of list and fingerprint; pairs (a, b) of rids, a after b in its list."""
     give_back()
     held: list[np.ndarray] = []
     size = 0
@@ -365,10 +365,11 @@ def candidates(texts: DataFrame) -> DataFrame:
         dealt = posts.select("k", zero.alias("i"), zero.alias("j"), zero.alias("side"), "rid", *own)
     else:
         blocks = F.coalesce("blocks", F.lit(1))
-        dealt = posts.join(_few(long_lists), "k", "left").withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int"))
+        dealt = posts.join(_few(long_lists), "k", "left").withColumn("block", F.pmod(F.xxhash64(*own), blocks).cast("int"))
         dealt = dealt.select("rid", *own, "k", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         dealt = dealt.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "rid", *own)
-    listed = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "rid")
+    # in order of fingerprints, so that which pairs are compared doesn't depend on where rows lie
+    listed = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", *own, "rid")
     return listed.mapInArrow(_candidates, "a long, b long").distinct()
 
 
