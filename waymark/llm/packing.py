@@ -168,15 +168,16 @@ class Index:
         del found
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
         length = np.array([len(d) for d in docs], np.float32)
-        vocabulary, held = np.unique(terms, return_counts=True)
-        telling = vocabulary[held * 2 <= max(len(docs), 2)]
-        kept = np.isin(terms, telling)
-        term, tf, owner = np.searchsorted(telling, terms[kept]).astype(np.int32), tf[kept], owner[kept]
+        held = np.bincount(terms)  # a document has each of its terms once
+        telling = (held > 0) & (held * 2 <= max(len(docs), 2))
+        number = (np.cumsum(telling) - 1).astype(np.int32)
+        kept = telling[terms]
+        term, tf, owner = number[terms[kept]], tf[kept], owner[kept]
         del terms, kept
-        df = np.bincount(term, minlength=len(telling))
+        df = held[telling]
         idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
         weight = idf[term] * tf * np.float32(K1 + 1) / (tf + (K1 * (1 - B + B * length / length.mean())).astype(np.float32)[owner])
-        by_term = np.argsort(term, kind="stable")
+        by_term = np.argsort(term.astype(np.uint16) if len(df) <= 1 << 16 else term, kind="stable")  # 16 bits are sorted by radix
         self.posted, self.weight = owner[by_term], weight[by_term]
         self.lists = np.concatenate([[0], np.cumsum(df)])
         self.first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(docs)))])
