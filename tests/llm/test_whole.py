@@ -87,6 +87,50 @@ def test_tables_grow_with_the_training_texts():
     assert all(all(a <= b for a, b in zip(x, y, strict=True)) for x, y in zip(bits, bits[1:])) and bits[1] < bits[2] and bits[-1] == mixing.MOST
 
 
+def test_the_gradient_is_the_slope_of_the_score(monkeypatch):
+    monkeypatch.setattr(mixing, "STEP", 0.0)
+    monkeypatch.setattr(mixing, "HELD", 150)
+    rng = np.random.default_rng(2)
+    code = mixing.Code(rng.integers(0, 9, (256, 256)).astype(float))
+    tables = [rng.integers(100, 156, 1 << b).astype(np.uint8) for b in (16, 15, 14)]
+    texts, weights = [b"some words and more", b"", b"other words " * 9], np.full((mixing.GATES, mixing.HASHED + 2), 0.2)
+    got = mixing.gradient(texts, code, tables, weights)
+    for gate, k in ((0, 0), (5, 1), (10, 2), (15, 3), (6, 4)):
+        ends = []
+        for d in (0.01, -0.01):
+            w = weights.copy()
+            w[gate, k] += d
+            ends.append(mixing.score_texts(texts, code, tables, w)[0].sum())
+        assert got[gate, k] == pytest.approx((ends[0] - ends[1]) / 0.02, rel=0.02, abs=0.05)
+
+
+def test_scores_do_not_depend_on_the_symbols_held(monkeypatch):
+    rng = np.random.default_rng(3)
+    code = mixing.Code(rng.integers(0, 9, (256, 256)).astype(float))
+    tables = [rng.integers(112, 144, 1 << b).astype(np.uint8) for b in (16, 15, 14)]
+    texts = [b"word " * int(n) for n in rng.integers(0, 90, 40)]
+    whole = mixing.score_texts(texts, code, tables, mixing.first_weights())[0]
+    for held in (100, 500):
+        monkeypatch.setattr(mixing, "HELD", held)
+        assert mixing.score_texts(texts, code, tables, mixing.first_weights())[0] == pytest.approx(whole, rel=1e-6)
+
+
+def test_every_training_text_fits_the_weights(spark, monkeypatch):
+    """Each training text is in one round and one half; the tables of the halves together count what the last ones count."""
+    seen, fit = {}, mixing.fit_weights
+
+    def watch(texts, code, halves):
+        seen["rows"], seen["halves"] = texts.collect(), halves
+        return fit(texts, code, halves)
+
+    monkeypatch.setattr(mixing, "fit_weights", watch)
+    some = [(i, f"text number {i} of many") for i in range(700)]
+    mixing.Model(docs(spark, some).select("doc_id", "text"))
+    assert sorted(r["text"] for r in seen["rows"]) == sorted(t for _, t in some)
+    assert {r["half"] for r in seen["rows"]} == {0, 1} and {r["round"] for r in seen["rows"]} == set(range(mixing.ROUNDS))
+    assert any((a != b).any() for a, b in zip(*seen["halves"], strict=True))
+
+
 # Language identification
 
 
