@@ -493,6 +493,30 @@ def slow_base(some):
     return out
 
 
+def test_candidates_do_not_depend_on_the_number_of_texts(spark, monkeypatch):
+    """Prints that differ in some 45 bits, of which sets of more positions would find others."""
+    rng = np.random.default_rng(11)
+    bits = np.repeat(rng.integers(0, 2, (150, 1, 256)), 2, axis=1)
+    bits[:, 1] ^= rng.random((150, 256)) < 0.18
+    prints = np.packbits(bits.reshape(300, 256).astype(np.uint8), axis=1).view("<i8")
+    table = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints)], "rid long, f0 long, f1 long, f2 long, f3 long")
+    few = {frozenset(r) for r in rows(simhash.candidates(table))}
+    monkeypatch.setattr(type(table), "count", lambda self: 10_000_000)
+    assert {frozenset(r) for r in rows(simhash.candidates(table))} == few and len(few) > 20
+
+
+def test_partners_do_not_depend_on_the_length_of_a_run(monkeypatch):
+    rng = np.random.default_rng(12)
+    f = np.repeat(rng.integers(0, 1 << 63, (1, 4)), 40, axis=0).astype(np.uint64)
+    f[np.arange(40), rng.integers(0, 4, 40)] ^= np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)  # many are equally close
+    run, none = np.zeros(40, int), np.zeros(40, int)
+    got = []
+    for short in (64, 1):
+        monkeypatch.setattr(simhash, "SHORT", short)
+        got.append(set(zip(*(x.tolist() for x in simhash._partners(f, run, none, none.astype(bool))), strict=True)))
+    assert got[0] == got[1] and len(got[0]) > 40
+
+
 @pytest.mark.parametrize("head", [mixing.HEAD, 3])
 def test_base_score_matches_brute_force(spark, head):
     some = near_rows() + [(None, "no id")]

@@ -208,8 +208,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: Words of 64 bits in a wide fingerprint; the bytes a pair must share; the bits it may differ in (similar pairs: 39 +- 6 at 0.8).
 WIDE, WIDE_SHARED, WIDE_BITS = 4, 3, 56
-#: Distances between the byte positions of a term set, by the number of distinct texts up to which these sets are used.
-WIDE_SETS = [(4_000_000, [(1,), (5,)]), (1 << 62, [(1, 3), (2, 7), (4, 9), (5, 11), (6, 14), (8, 13)])]
+#: Distances between the byte positions of a term set, for any number of texts: other sets would miss other pairs.
+WIDE_SETS = [(1,), (5,)]
 #: A list of up to so many is compared side by side with others.
 SHORT = 64
 #: Rows of numbers that are broadcast, and pairs that one copy of a text is compared in.
@@ -298,7 +298,7 @@ def _partners(f: np.ndarray, run: np.ndarray, side: np.ndarray, split: np.ndarra
         close, bits = _close(f[some] ^ f[some + d])
         some, bits = some[close], bits[close]
         first[some + d] = some  # a larger distance is an earlier place
-        nearer = bits < best[some + d]
+        nearer = bits <= best[some + d]  # of equally close ones the earliest, as in long runs
         nearest[some[nearer] + d], best[some[nearer] + d] = some[nearer], bits[nearer]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     for r in np.nonzero(sizes > SHORT)[0].tolist():
@@ -349,9 +349,7 @@ def _candidates(batches):
 
 def candidates(texts: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of rids whose wide fingerprints (rid, f0, ...) are close, at most two for each text of a posting list."""
-    n = texts.count()
-    distances = next(d for most, d in WIDE_SETS if n <= most)
-    sets = [(i, *((i + d) % (8 * WIDE) for d in ds)) for ds in distances for i in range(8 * WIDE)]
+    sets = [(i, *((i + d) % (8 * WIDE) for d in ds)) for ds in WIDE_SETS for i in range(8 * WIDE)]
 
     def byte(p):
         return F.shiftrightunsigned(f"f{p // 8}", 8 * (p % 8)).bitwiseAND(F.lit(255))
