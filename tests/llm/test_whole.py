@@ -1,8 +1,10 @@
 """The operators do the whole job: cases that an earlier, thinner version failed."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from waymark.llm import langid, mixing, wrappers
@@ -82,6 +84,24 @@ def test_tables_count_every_training_text_and_scores_follow_from_them(spark, mon
     assert len(scored) == len(some) and all(v < 0 for v in scored.values())
 
 
+def test_counting_holds_little_beside_its_counts(monkeypatch):
+    """Two workers count beside a JVM that has most of an executor's memory, so what a gather takes is bounded, and what is kept aside for frequent contexts too."""
+    monkeypatch.setattr(mixing.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})()))
+    rng = np.random.default_rng(5)
+    column = pa.array([" ".join(rng.choice([f"w{i * i}" for i in range(4000)], 300)) for _ in range(1500)])
+    symbols, before, *_ = mixing.contexts([mixing.text_bytes(t) for t in column.to_pylist()], hashing=False)
+    shared = type("Shared", (), {"value": mixing.Code(np.bincount(before.astype(np.int64) * 256 + symbols, minlength=65536).reshape(256, 256).astype(float))})
+    bits = (20, 20, 20)
+    tracemalloc.start()
+    try:
+        sent = sum(b.num_rows for b in mixing._tally(shared, bits)([pa.RecordBatch.from_arrays([column], names=["text"])]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent == len(mixing._blocks(bits))
+    assert peak < sum(4 << b for b in bits) + (48 << 20)
+
+
 def test_tables_grow_with_the_training_texts():
     bits = [mixing.table_bits(n) for n in (0, 10**5, 10**7, 10**8, 10**12)]
     assert all(all(a <= b for a, b in zip(x, y, strict=True)) for x, y in zip(bits, bits[1:])) and bits[1] < bits[2] and bits[-1] == mixing.MOST
